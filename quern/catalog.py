@@ -1,0 +1,9 @@
+"""Registry of queries and their SQL."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
