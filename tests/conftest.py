@@ -11,7 +11,7 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     from quern.session import local_session, ship
 
-    session = ship(local_session(4, "tests", spark__sql__shuffle__partitions="4"))
+    session = ship(local_session(int(os.environ.get("TEST_CPUS", "4")), "tests", spark__sql__shuffle__partitions="4"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
