@@ -231,13 +231,15 @@ def vsn_parameters(counts: DataFrame, min_cells: int = 5, gmean_eps: float = 1.0
 def vsn(counts: DataFrame, min_cells: int = 5, gmean_eps: float = 1.0, ngenes: int = 2000, seed: int = 42) -> DataFrame:
     """Counts corrected to the median depth through Pearson residuals; entries that round to 0 are dropped.
 
-    Zeros have negative residuals and are corrected to 0 unless the model is far off, so only entries are corrected.
+    A zero in a shallow cell may stand for more at the median depth, so every kept gene meets every cell; the result
+    is about that large itself.
     """
     pars = vsn_parameters(counts, min_cells, gmean_eps, ngenes, seed)
     cells = counts.groupBy("cell").agg(F.log10(F.sum("count").cast("double")).alias("d"))
     median = cells.agg(F.expr("percentile(d, 0.5)").alias("md"))
-    rows = counts.join(pars, "gene").join(cells, "cell").join(F.broadcast(median))
+    grid = cells.join(F.broadcast(median)).crossJoin(pars)
+    rows = grid.join(counts, ["gene", "cell"], "left").withColumn("y", F.coalesce("count", F.lit(0)).cast("double"))
     mu, to = F.exp(F.col("b0") + F.col("b1") * F.col("d")), F.exp(F.col("b0") + F.col("b1") * F.col("md"))
-    residual = (F.col("count") - mu) / F.sqrt(mu + mu * mu / F.col("theta"))
+    residual = (F.col("y") - mu) / F.sqrt(mu + mu * mu / F.col("theta"))
     value = F.abs(F.bround(to + residual * F.sqrt(to + to * to / F.col("theta")), 0))
     return rows.select("gene", "cell", value.alias("value")).where("value <> 0")
