@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -35,17 +36,17 @@ HASHED = 64
 
 
 def text_view(text: str | None) -> list[float]:
-    """Shares and means of a whole text; no length, source or layout."""
+    """Shares and means of a whole text; no length, source or layout.
+
+    Each is drawn towards a common value by an imagined page of 200 characters and 30 words, or a few
+    capitals would make a text of three words look like shouting.
+    """
     text = text or ""
     n = len(text)
-    if not n:
-        return [0.0] * 11
     words = WORD.findall(text)
-    m = max(1, len(words))
+    m = len(words)
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    low = np.minimum(code, 0x250)
-    kind = _KIND[low]
-    count = np.bincount(kind, minlength=5)
+    count = np.bincount(_KIND[np.minimum(code, 0x250)], minlength=5)
     lines = [x for x in text.split("\n") if x]
     distinct = set(words)
     raw = text.encode("utf-8", "surrogatepass")
@@ -53,20 +54,25 @@ def text_view(text: str | None) -> list[float]:
     ends = sum(1 for w in words if w[-1] in ".!?")
     marked = sum(1 for w in words if not w[-1].isalnum())
     return [
-        count[1] / n,  # capitals
-        count[2] / n,  # digits
-        count[3] / n,  # symbols
-        count[0] / max(1, n - count[4]),  # letters among what isn't space
-        len(distinct) / m**0.9,  # variety, little dependent on length
-        (n - count[4]) / m,
-        len(set(lines)) / max(1, len(lines)),
-        squeezed / len(raw),
-        ends / m,
-        marked / m,
-        max(map(len, distinct), default=0) / m**0.1,
+        (count[1] + 3) / (n + 200),  # capitals
+        (count[2] + 0.2) / (n + 200),  # digits
+        (count[3] + 4) / (n + 200),  # symbols
+        (count[0] + 160) / (n - count[4] + 167),  # small letters among what isn't space
+        (len(distinct) + 28) / (m + 30) ** 0.9,  # variety, little dependent on length
+        (n - count[4] + 160) / (m + 30),
+        (len(set(lines)) + 3) / (len(lines) + 3),
+        (squeezed + 100) / (len(raw) + 200),
+        (ends + 3) / (m + 30),
+        (marked + 5) / (m + 30),
+        max(map(len, distinct), default=0) / (m + 30) ** 0.1,
+        sum(map(eq, words, words[1:])) / (m + 30),  # words said twice in a row
+        sum(1 for w in words if len(w) == 1 and not w.isalnum()) / (m + 30),  # separators
     ]
 
 
+CONTENT = 13
+
+
 def _kinds() -> np.ndarray:
     """Class of each character below 0x250: 0 other letters, 1 capitals, 2 digits, 3 symbols, 4 space; above: letters."""
     out = np.zeros(0x251, dtype=np.int64)
@@ -92,13 +98,14 @@ class Binned:
     """A logistic model over one-hot quantile bins of numbers, and hashed categories."""
 
     def __init__(self, numbers: np.ndarray, bins: int = 16):
-        self.edges = [np.unique(np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1])) for x in numbers.T]
+        cuts = np.unique(np.concatenate([np.linspace(0, 1, bins + 1)[1:-1], [0.005, 0.015, 0.03, 0.97, 0.985, 0.995]]))
+        self.edges = [np.unique(np.quantile(x, cuts)) for x in numbers.T]
         self.start = np.concatenate([[0], np.cumsum([len(e) + 1 for e in self.edges])]).astype(np.int64)
         self.weights = None
 
     def design(self, numbers: np.ndarray, named: np.ndarray) -> np.ndarray:
         """Column numbers of the ones, by row."""
-        cols = [self.start[i] + np.searchsorted(e, numbers[:, i], side="right") for i, e in enumerate(self.edges)]
+        cols = [self.start[i] + np.searchsorted(e, numbers[:, i], side="left") for i, e in enumerate(self.edges)]
         cols += [self.start[-1] + named[:, j] for j in range(named.shape[1])]
         return np.stack([*cols, np.full(len(numbers), self.start[-1] + HASHED)], axis=1)
 
@@ -189,7 +196,12 @@ def train(content, record, named, label, rounds: int = 4, sure: float = 0.05) ->
     model.content, model.record = a, b
     za, zb, y = a.logit(views[0][1][left]), b.logit(views[1][1][left]), label[left].astype(np.float64)
     model.cal_a, model.cal_b = _platt(za[:, None], y), _platt(zb[:, None], y)
-    model.mix = _platt(np.column_stack([za * model.cal_a[0] + model.cal_a[1], zb * model.cal_b[0] + model.cal_b[1]]), y)
+    both = np.column_stack([za * model.cal_a[0] + model.cal_a[1], zb * model.cal_b[0] + model.cal_b[1]])
+    model.mix = _platt(both, y)
+    for i in (0, 1):  # a view never counts against itself
+        if model.mix[i] < 0:
+            alone = _platt(both[:, 1 - i : 2 - i], y)
+            model.mix = np.insert(alone, i, 0.0)
     return model
 
 
@@ -219,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_unlabe
     schema = "doc_id long, flag int, content array<double>, record array<double>, named array<long>"
     rows = rows.mapInPandas(run, schema).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     if not len(rows):
-        return train(np.zeros((0, 11)), np.zeros((0, 3)), np.zeros((0, 2), dtype=np.int64), [], **options)
+        return train(np.zeros((0, CONTENT)), np.zeros((0, 3)), np.zeros((0, 2), dtype=np.int64), [], **options)
     return train(np.stack(rows["content"]), np.stack(rows["record"]), np.stack(rows["named"]), rows["flag"].to_numpy(), **options)
 
 
