@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from quern.functions import special
 from quern.functions.stats import bh_adjust, bonferroni
+from quern.plans.scratch import materialize
 
 
 def cluster_sizes(clusters: DataFrame, min_size: int = 0) -> DataFrame:
@@ -58,7 +59,7 @@ def linear_model(expr: DataFrame, clusters: DataFrame, direction: str = "up", mi
     out = both.withColumn("p_val", p).withColumn("comparison", F.concat_ws("_vs_", F.col("a").cast("string"), F.col("b").cast("string")))
     if target is not None:
         out = out.where(F.col("a").isin(target))
-    out = bh_adjust(out)
+    out = bh_adjust(materialize(out, "tests"))
     return out.select("comparison", "a", "b", "gene", "p_val", "fdr", "t_stat", "t_signed", "logfc", "mean_a", "mean_b")
 
 
@@ -115,7 +116,7 @@ def wilcoxon(expr: DataFrame, clusters: DataFrame, min_size: int = 10, alternati
     one = stats.select(F.col("c1").alias("a"), F.col("c2").alias("b"), "gene", "u", p(1).alias("p_val"))
     two = stats.select(F.col("c2").alias("a"), F.col("c1").alias("b"), "gene", (F.col("n1") * F.col("n2") - F.col("u")).alias("u"), p(-1).alias("p_val"))
     both = one.unionByName(two).withColumn("comparison", F.concat_ws("_vs_", F.col("a").cast("string"), F.col("b").cast("string")))
-    return bh_adjust(both).select("comparison", "a", "b", "gene", "u", "p_val", "fdr")
+    return bh_adjust(materialize(both, "tests")).select("comparison", "a", "b", "gene", "u", "p_val", "fdr")
 
 
 def simes(tests: DataFrame) -> DataFrame:
@@ -154,7 +155,7 @@ def combine_tests(tests: DataFrame, method: str = "fisher", mtc: str = "BH") ->
     ways = {"simes": simes, "fisher": fisher, "stouffer": stouffer}
     if method not in ways or mtc not in ("BH", "bonferroni"):
         raise ValueError("method is simes, fisher or stouffer; mtc is BH or bonferroni")
-    return (bh_adjust if mtc == "BH" else bonferroni)(ways[method](tests), "p_val", "mtc_p")
+    return (bh_adjust if mtc == "BH" else bonferroni)(materialize(ways[method](tests), "combined"), "p_val", "mtc_p")
 
 
 def filter_tests(combined: DataFrame, expr: DataFrame, clusters: DataFrame, thres: float = 0.01, frac: float = 0.8) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -252,26 +253,51 @@ def walktrap(graph: Graph, steps: int = 4) -> list[int]:
     walk = np.linalg.matrix_power(p / degree[:, None], steps) / np.sqrt(degree)[None, :]
     parts = {i: [i] for i in range(n)}
     rows, near = {i: walk[i] for i in range(n)}, {i: {j for j in graph.near[i] if j != i} for i in range(n)}
-    label = list(range(n))
-    best, top = list(label), modularity(graph, label)
+    strength, total = graph.strength.tolist(), graph.total or 1.0
+    links = {i: {j: w for j, w in near_i.items() if j != i} for i, near_i in enumerate(graph.near)}
+    now = top = modularity(graph, list(range(n)))
+    merges: list[tuple[int, int]] = []
+    kept = 0
     gap = lambda a, b: len(parts[a]) * len(parts[b]) / (len(parts[a]) + len(parts[b])) * float(((rows[a] - rows[b]) ** 2).sum())
-    cost = {(a, b): gap(a, b) for a in near for b in near[a] if a < b}
-    while cost:
-        a, b = min(cost, key=lambda k: (cost[k], k))
+    heap = [(gap(a, b), a, b) for a in near for b in near[a] if a < b]
+    heapq.heapify(heap)
+    age = dict.fromkeys(parts, 0)  # entries made before a part last changed are passed over
+    made = {(a, b): 0 for _, a, b in heap}
+    turn = 0
+    while heap:
+        _, a, b = heapq.heappop(heap)
+        if a not in near or b not in near or made.get((a, b), -1) < max(age[a], age[b]):
+            continue
+        turn += 1
         rows[a] = (rows[a] * len(parts[a]) + rows[b] * len(parts[b])) / (len(parts[a]) + len(parts[b]))
-        for i in parts[b]:
-            label[i] = label[a]
         parts[a] += parts.pop(b)
         around = (near.pop(a) | near.pop(b)) - {a, b}
-        near[a] = around
-        cost = {k: v for k, v in cost.items() if a not in k and b not in k}
+        near[a], age[a] = around, turn
         for c in around:
             near[c] = (near[c] - {b}) | {a}
-            cost[min(a, c), max(a, c)] = gap(a, c)
-        value = modularity(graph, label)
-        if value > top + 1e-12:
-            best, top = list(label), value
-    return best
+            pair = min(a, c), max(a, c)
+            made[pair] = turn
+            heapq.heappush(heap, (gap(a, c), *pair))
+        # merging a and b changes modularity by their links less the expected ones
+        now += links[a].get(b, 0.0) / total - strength[a] * strength[b] / (2 * total * total)
+        for c, w in links.pop(b).items():
+            if c != a:
+                links[a][c] = links[a].get(c, 0.0) + w
+                links[c][a] = links[a][c]
+                links[c].pop(b, None)
+        links[a].pop(b, None)
+        strength[a] += strength[b]
+        merges.append((a, b))
+        if now > top + 1e-12:
+            kept, top = len(merges), now
+    label = list(range(n))
+    for a, b in reversed(merges[:kept]):
+        label[b] = a
+    for i in range(n):
+        while label[label[i]] != label[i]:
+            label[i] = label[label[i]]
+        label[i] = label[label[i]]
+    return label
 
 
 def _stationary(graph: Graph) -> np.ndarray:

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from quern.operators import qc
 
@@ -62,6 +63,16 @@ class Dataset:
         value = F.col(key).cast("string" if kind == "cat" else "double").alias(key)
         setattr(self, axis, getattr(self, axis).join(data.select(name, value), name, "left"))
 
+    def add_positional(self, axis: str, key: str, values: list, kind: str = "cat") -> None:
+        """Add a list of values, one for each cell or gene in the order of their names."""
+        name = axis[:-1]
+        dim = getattr(self, axis)
+        if len(values) != dim.count():
+            raise ValueError(f"{len(values)} values for {dim.count()} {axis}")
+        given = dim.sparkSession.createDataFrame(list(enumerate(values, 1)), ["_at", key])
+        places = dim.select(name, F.row_number().over(Window.orderBy(name)).alias("_at"))
+        self.add_metadata(axis, key, places.join(given, "_at").drop("_at"), kind)
+
     def clean(self, remove_low_quality: bool = True, remove_mito: bool = True) -> DataFrame:
         return qc.clean_matrix(self.counts, self.cells, self.genes, remove_low_quality, remove_mito)
 

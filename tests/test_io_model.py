@@ -101,6 +101,10 @@ def test_dataset(spark, tmp_path):
     assert data.describe().first().cells_ok == 1
     data.add_metadata("cells", "kind", spark.createDataFrame([("c1", "x")], "cell string, kind string"))
     assert data.cells.where("kind = 'x'").count() == 1
+    data.add_positional("cells", "age", [1.5, 2.5, 3.5], "cont")
+    assert {r.cell: r.age for r in data.cells.collect()} == {"c1": 1.5, "c2": 2.5, "c3": 3.5}
+    with pytest.raises(ValueError):
+        data.add_positional("genes", "x", [1])
     with pytest.raises(ValueError):
         data.add_metadata("cells", "status", data.cells)
     data.put("norm/standard", counts)
