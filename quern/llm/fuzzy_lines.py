@@ -99,12 +99,12 @@ class MinHasher:
         return out
 
 
-def jaccard(a: str, b: str, width: int) -> float:
-    """Exact similarity of two lines' shingle sets."""
-    if a == b:
-        return 1.0
-    x = {a[i : i + width] for i in range(max(1, len(a) - width + 1))}
-    y = {b[i : i + width] for i in range(max(1, len(b) - width + 1))}
+def shingle_set(line: str, width: int) -> frozenset[str]:
+    return frozenset(line[i : i + width] for i in range(max(1, len(line) - width + 1)))
+
+
+def jaccard(x: frozenset[str], y: frozenset[str]) -> float:
+    """Exact similarity of two shingle sets."""
     both = len(x & y)
     return both / (len(x) + len(y) - both)
 
@@ -152,9 +152,12 @@ def _occurrences(docs: DataFrame, hasher: MinHasher) -> DataFrame:
 
 def _buckets(rows: DataFrame, limit: int):
     """``(band, key)`` rows that share their band: small ones, and large ones with the bucket's smallest key."""
-    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("head")).where("n > 1")
-    shared = materialize(rows.join(sizes, "band"), "line-buckets")
-    return shared.where(F.col("n") <= limit), shared.where(F.col("n") > limit)
+    # two numbers a band: a hash aggregate and a hashed build side, so the many bands of one line are never sorted
+    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(rows.join(sizes.hint("shuffle_hash"), "band"), "line-buckets")
+    large = shared.where(F.col("n") > limit)
+    heads = large.groupBy("band").agg(F.min("key").alias("head"))
+    return shared.where(F.col("n") <= limit), large.join(heads, "band")
 
 
 def _pairs(small: DataFrame) -> DataFrame:
@@ -240,7 +243,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float)
 
     def run(batches):
         for batch in batches:
-            near = [jaccard(x, y, width) >= threshold for x, y in zip(batch["a"], batch["b"])]
+            near = [jaccard(shingle_set(x, width), shingle_set(y, width)) >= threshold for x, y in zip(batch["a"], batch["b"])]
             yield batch.loc[near, ["u", "v"]]
 
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInPandas(run, "u binary, v binary")
