@@ -41,6 +41,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 START, FALLBACK = -1, -2
+#: Above any piece's number: a pair is left * SPAN + right.
+SPAN = 1 << 24
 CHUNKS, PAIRS = 400_000, 1_000_000
 
 
@@ -90,12 +92,8 @@ class Transducer:
         singles = {p for p in self.id if len(p) == 1}
         self.apart = all(MARK not in p.lstrip(MARK) and (len(p) == 1 or set(p) <= singles) for p in self.id)
         least = min(s for s, t in zip(model["scores"], model["types"]) if t == NORMAL)
-        if self.kind == UNIGRAM:
-            self.weight = {i: -model["scores"][i] for i in self.id.values()}
-            self.penalty = 10.0 - least
-        else:
-            self.weight = dict.fromkeys(self.id.values(), 1.0)
-            self.penalty = 1.0
+        self.weight = {i: -model["scores"][i] for i in self.id.values()}
+        self.penalty = 10.0 - least
         self.trie: dict = {}
         for piece, i in self.id.items():
             node = self.trie
@@ -124,54 +122,81 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _stable(self, pair: tuple[int, int]) -> bool:
-        left, right = pair
+    def _stable(self, pair: int) -> bool:
+        left, right = divmod(pair, SPAN)
         if left == START:
             return self._merge(self.pieces[right]) == [self.pieces[right]]
         return self._merge(self.pieces[left] + self.pieces[right]) == [self.pieces[left], self.pieces[right]]
 
+    def _arcs(self, chunk: str, i: int) -> list[tuple[int, int]]:
+        """``(end, piece)`` of the lattice's arcs from place ``i``, short ones first; byte fallback if no piece is one character."""
+        node, j, n, out = self.trie, i, len(chunk), []
+        while j < n:
+            node = node.get(chunk[j])
+            if node is None:
+                break
+            j += 1
+            piece = node.get("")
+            if piece is not None:
+                out.append((j, piece))
+        if not out or out[0][0] != i + 1:
+            out.insert(0, (i + 1, FALLBACK))
+        return out
+
     def _path(self, chunk: str) -> tuple[int, ...]:
-        """Ids on the tropical shortest path through the lattice of one chunk."""
-        n, free = len(chunk), self.kind == UNIGRAM
-        stable, weight, trie = self.stable, self.weight, self.trie
-        best: list = [None] * (n + 1)  # (weight, last piece, where it starts)
-        best[0] = (0.0, START, 0)
-        for i in range(n):
-            state = best[i]
-            if state is None:
-                continue
-            cost, last, _ = state
-            node, j = trie, i
-            single = False
-            while j < n:
-                node = node.get(chunk[j])
-                if node is None:
-                    break
-                j += 1
-                piece = node.get("")
-                if piece is None:
-                    continue
-                single = single or j == i + 1
-                if free or stable[(START if last == FALLBACK else last, piece)]:
-                    total, old = cost + weight[piece], best[j]
-                    if old is None or total < old[0]:
-                        best[j] = (total, piece, i)
-            if not single:
-                total, old = cost + self.penalty, best[i + 1]
-                if old is None or total < old[0]:
-                    best[i + 1] = (total, FALLBACK, i)
+        """Ids on the shortest path through the lattice of one chunk."""
+        steps = self._only(chunk) if self.kind == BPE else self._shortest(chunk)
         out: list[int] = []
-        at = n
-        while at:
-            _, piece, start = best[at]
+        for start, end, piece in steps:
             if piece != FALLBACK:
                 out.append(piece)
             elif self.bytes:
-                out += [self.bytes[b] for b in reversed(chunk[start:at].encode("utf-8", "replace"))]
+                out += [self.bytes[b] for b in chunk[start:end].encode("utf-8", "replace")]
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
+        return tuple(out)
+
+    def _only(self, chunk: str) -> list[tuple[int, int, int]]:
+        """The one stable path of a BPE lattice, searched depth first with long arcs first.
+
+        Stable pieces up to a place are that prefix's encoding, so a place is reached in one state only: one
+        that led nowhere is never entered again.
+        """
+        n, stable, dead = len(chunk), self.stable, set()
+        steps: list[tuple[int, int, int]] = []
+        stack = [self._arcs(chunk, 0)] if n else []
+        at, last = 0, START
+        while at < n:
+            arcs = stack[-1]
+            while arcs:
+                end, piece = arcs.pop()
+                if end not in dead and (piece == FALLBACK or stable[last * SPAN + piece]):
+                    steps.append((at, end, piece))
+                    at, last = end, START if piece == FALLBACK else piece
+                    if at < n:
+                        stack.append(self._arcs(chunk, at))
+                    break
+            else:
+                dead.add(at)
+                stack.pop()
+                at = steps.pop()[0]
+                last = START if not steps or steps[-1][2] == FALLBACK else steps[-1][2]
+        return steps
+
+    def _shortest(self, chunk: str) -> list[tuple[int, int, int]]:
+        """The path of least weight, place by place."""
+        best: list = [(0.0, 0, START)] + [None] * len(chunk)
+        for i in range(len(chunk)):
+            for end, piece in self._arcs(chunk, i):
+                total = best[i][0] + (self.penalty if piece == FALLBACK else self.weight[piece])
+                if best[end] is None or total < best[end][0]:
+                    best[end] = (total, i, piece)
+        steps, at = [], len(chunk)
+        while at:
+            _, start, piece = best[at]
+            steps.append((start, at, piece))
             at = start
-        return tuple(reversed(out))
+        return steps[::-1]
 
     def normalised(self, text: str) -> str:
         return (MARK if self.model["prefix"] and text else "") + text.replace(" ", MARK)
