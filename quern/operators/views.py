@@ -1,4 +1,4 @@
-"""The queries behind the reference's charts; drawing is left to the caller."""
+"""The queries behind charts; drawing is left to the caller."""
 
 from __future__ import annotations
 
