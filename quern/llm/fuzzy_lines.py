@@ -38,6 +38,30 @@ SPLIT = "\n"
 _END = 0x110000  # fills lines shorter than a shingle; no character
 
 
+def windows(lines: list[str], w: int) -> tuple[np.ndarray, np.ndarray]:
+    """uint64 hashes of the ``w``-character shingles of all lines in a row, and where each line starts."""
+    size = np.array([max(len(x), w) for x in lines], dtype=np.int64)
+    if any(len(x) < w for x in lines):
+        blocks = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype="<u4") for x in lines]
+        blocks = [b if len(b) >= w else np.concatenate([b, np.full(w - len(b), _END, dtype="<u4")]) for b in blocks]
+        code = np.concatenate(blocks).astype(np.uint64)
+    else:
+        code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    h = code * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    out, base = h[: len(h) - w + 1].copy(), np.uint64(0xD6E8FEB86659FD93)
+    for at in range(1, w):
+        out *= base
+        out += h[at : len(h) - w + 1 + at]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0x9E3779B97F4A7C15)
+    stay = np.ones(len(out), dtype=bool)
+    ends = np.cumsum(size)[:-1]
+    for at in range(1, w):  # windows that reach into the next line
+        stay[ends - at] = False
+    return out[stay], np.concatenate([[0], np.cumsum(size - w + 1)[:-1]])
+
+
 class MinHasher:
     """Signatures of many lines at once."""
 
@@ -50,30 +74,8 @@ class MinHasher:
 
     def shingles(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """uint32 shingle hashes of all lines in a row, and where each line starts."""
-        w = self.width
-        size = np.array([max(len(x), w) for x in lines], dtype=np.int64)
-        if any(len(x) < w for x in lines):
-            blocks = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype="<u4") for x in lines]
-            blocks = [b if len(b) >= w else np.concatenate([b, np.full(w - len(b), _END, dtype="<u4")]) for b in blocks]
-            code = np.concatenate(blocks).astype(np.uint64)
-        else:
-            code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-        h = code * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        out, base = h[: len(h) - w + 1].copy(), np.uint64(0xD6E8FEB86659FD93)
-        for at in range(1, w):
-            out *= base
-            out += h[at : len(h) - w + 1 + at]
-        out ^= out >> np.uint64(32)
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        short = (out >> np.uint64(32)).astype(np.uint32)
-        count = size - w + 1
-        stay = np.ones(len(short), dtype=bool)
-        ends = np.cumsum(size)[:-1]
-        for at in range(1, w):  # windows that reach into the next line
-            stay[ends - at] = False
-        starts = np.concatenate([[0], np.cumsum(count)[:-1]])
-        return short[stay], starts
+        hashes, starts = windows(lines, self.width)
+        return (hashes >> np.uint64(32)).astype(np.uint32), starts
 
     def signatures(self, lines: list[str], chunk: int = 1 << 16) -> np.ndarray:
         """uint64[lines, bands]: a hash of each band's minima."""
@@ -109,6 +111,24 @@ def jaccard(x: frozenset[str], y: frozenset[str]) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """One line's window hashes, sorted, each once."""
+    out = np.sort(hashes)
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
+
+
+def similar(x: np.ndarray, y: np.ndarray, a: str, b: str, width: int, threshold: float) -> bool:
+    """Whether two lines reach ``threshold``: by their distinct window hashes, and by the shingles themselves where a few decide."""
+    n = len(x) + len(y)
+    if min(len(x), len(y)) + 2 < threshold * max(len(x), len(y)):
+        return False
+    merged = np.sort(np.concatenate([x, y]))
+    both = int(np.count_nonzero(merged[1:] == merged[:-1]))
+    if abs(both - threshold * (n - both)) > 4:  # hashes that fall together move the counts by one each
+        return both >= threshold * (n - both)
+    return jaccard(shingle_set(a, width), shingle_set(b, width)) >= threshold
+
+
 def line_key(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
@@ -243,8 +263,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float)
 
     def run(batches):
         for batch in batches:
-            near = [jaccard(shingle_set(x, width), shingle_set(y, width)) >= threshold for x, y in zip(batch["a"], batch["b"])]
-            yield batch.loc[near, ["u", "v"]]
+            for lo in range(0, len(batch), 512):
+                part = batch.iloc[lo : lo + 512]
+                texts = dict(zip(part["u"], part["a"])) | dict(zip(part["v"], part["b"]))
+                hashes, starts = windows(list(texts.values()), width)
+                ends = [*starts[1:].tolist(), len(hashes)]
+                sets = {key: distinct(hashes[i:j]) for key, i, j in zip(texts, starts.tolist(), ends)}
+                yield part.loc[[similar(sets[u], sets[v], texts[u], texts[v], width, threshold) for u, v in zip(part["u"], part["v"])], ["u", "v"]]
 
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInPandas(run, "u binary, v binary")
 
