@@ -54,12 +54,18 @@ def test_toxic_spans():
     bad = [f"you are such a moron number {i} and\nworthless too" for i in range(60)]
     field = t.train(clean + bad, [0] * 60 + [1] * 60)
     text = "nice day\nwhat a moron here\nyou are worthless too"
-    marginal, places = field.marginals([text, ""])
-    hits = [text[a:b] for (a, b), m in zip(places[0], marginal[0]) if m >= 0.5]
+    marginal, spans = field.marginals([text, ""])
+    hits = " ".join(text[a:b] for a, b in zip(spans[0][::2], spans[0][1::2])).split()
+    assert len(spans[1]) == 0 and len(hits) == (marginal[0] >= 0.5).sum()
     assert {"moron", "worthless"} <= set(hits) and not {"nice", "day", "here"} & set(hits) and field.document_scores(marginal)[0] > 0.7 > field.document_scores(marginal)[1]
     assert t.train(["a"], [0]).document_scores([np.zeros(1)])[0] == 0.0 and t.train([], []).constant == 0.0
 
 
+def test_features_are_hashes_of_their_names():
+    for word in ("a", "ab", "abc", "Réêouxelle", "ACHLICHPF", "漢字漢字", "", "x" * 40):
+        assert t.feature_ids(word) == [zlib.crc32(f.encode()) % t.DIM for f in t.feature_names(word)]
+
+
 def test_toxicity_rows(spark):
     labels = spark.createDataFrame([(1, 0), (4, 0), (5, 1), (5, 0), (6, 1), (8, None), (None, 1)], "doc_id long, toxic int")
     field = t.fit(frame(spark), labels)

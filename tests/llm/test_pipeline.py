@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import sentencepiece
+from docs import ROWS, empty, frame
 from test_fuzzy_lines import expected
 from test_pareto_mix import level
 from test_simhash_golay import components, plain_fingerprint
@@ -69,3 +70,15 @@ def test_stages_against_plain_versions(spark, sf_dir):
     assert Counter((r.doc_id, tuple(r.ids)) for r in encoded) == Counter((r.doc_id, tuple(library.encode(r.text))) for r in mix)
     again = corpus_pipeline.run(spark, sf_dir).collect()
     assert Counter((r.doc_id, tuple(r.ids)) for r in again) == Counter((r.doc_id, tuple(r.ids)) for r in encoded)
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    for name, stage in corpus_pipeline.STAGES:
+        odd, none = frame(spark), empty(spark)
+        out = stage(spark, odd, sf_dir)
+        assert stage(spark, none, sf_dir).count() == 0, name
+        if name != "piece encoding":
+            assert out.columns == odd.columns
+        n = out.count()
+        assert 0 < n <= 3 * len(ROWS), name
+        assert n == len(ROWS) or name in ("quality classifier", "SimHash near-dedup", "mixing")
