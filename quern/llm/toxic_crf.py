@@ -10,7 +10,7 @@ each token is toxic; a document's score is a logistic function, fitted on the
 training documents, of the marginals' sum, their maximum and their share of
 tokens. Spans are runs of tokens with a marginal of at least one half.
 
-A sequence is a line. All lines of a batch step together in numpy, longest
+A sequence is a line, and so spans end with it. All lines of a batch step together in numpy, longest
 first; feature sums are kept by word in a cache of bounded size.
 
 Training reads a bounded sample of whole labelled documents: at most ``max_docs``
@@ -44,8 +44,35 @@ def feature_names(word: str) -> list[str]:
     return [f"w={word}", *[f"p={word[:n]}" for n in range(3, min(9, len(word)) + 1)], f"s={word[-3:]}"]
 
 
+_W, _P, _S = (zlib.crc32(x) for x in (b"w=", b"p=", b"s="))
+
+
 def feature_ids(word: str) -> list[int]:
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % DIM for f in feature_names(word)]
+    """crc32 of each name of :func:`feature_names`; a prefix's goes on from the shorter one's."""
+    word, crc32 = word.lower(), zlib.crc32
+    parts = [c.encode("utf-8", "surrogatepass") for c in word[:9]]
+    ids = [crc32(word.encode("utf-8", "surrogatepass"), _W) % DIM]
+    if len(parts) > 2:
+        running = crc32(parts[0] + parts[1], _P)
+        for part in parts[2:]:
+            running = crc32(part, running)
+            ids.append(running % DIM)
+    ids.append(crc32(word[-3:].encode("utf-8", "surrogatepass"), _S) % DIM)
+    return ids
+
+
+class _Scores(dict):
+    """Log-odds by word, made when first asked for; starts anew when full."""
+
+    def __init__(self, weights: np.ndarray, bias: float):
+        self.weights, self.bias = weights.tolist(), bias
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= CACHE:
+            self.clear()
+        weights = self.weights
+        found = self[word] = self.bias + sum([weights[i] for i in feature_ids(word)])
+        return found
 
 
 def forward_backward(score: np.ndarray, lengths: np.ndarray, change: np.ndarray):
@@ -102,45 +129,43 @@ class Field:
 
     def __init__(self, weights: np.ndarray, bias: float, change: np.ndarray, head: np.ndarray, constant: float | None = None):
         self.weights, self.bias, self.change, self.head, self.constant = weights, bias, change, head, constant
-        self.cache: dict[str, float] = {}
+        self.scores = _Scores(weights, bias)
 
-    def __getstate__(self):
-        return {**self.__dict__, "cache": {}}
-
-    def word_score(self, word: str) -> float:
-        found = self.cache.get(word)
-        if found is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            found = self.cache[word] = self.bias + float(self.weights[feature_ids(word)].sum())
-        return found
+    def __reduce__(self):
+        return Field, (self.weights, self.bias, self.change, self.head, self.constant)
 
-    def marginals(self, texts: list[str], spans: bool = True):
-        """For each text: marginals by token; with ``spans`` also the tokens' offsets."""
-        score, lengths, owner, offsets = [], [], [], []
+    def marginals(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each text: marginals by token, and start and end of each toxic span in turn."""
+        score, lengths, owner, places = [], [], [], []
+        asked = self.scores.__getitem__
         for i, text in enumerate(texts):
             base = 0
             for line in text.split("\n"):
-                if spans:
-                    found = list(TOKEN.finditer(line))
-                    words = [m.group() for m in found]
-                    offsets += [(base + m.start(), base + m.end()) for m in found]
-                else:
-                    words = TOKEN.findall(line)
+                words = TOKEN.findall(line)
                 if words:
-                    score += map(self.word_score, words)
+                    score += map(asked, words)
                     lengths.append(len(words))
                     owner.append(i)
+                    places.append((base, line))
                 base += len(line) + 1
-        lengths, owner = np.array(lengths, dtype=np.int64), np.array(owner, dtype=np.int64)
+        lengths, owner, score = np.array(lengths, dtype=np.int64), np.array(owner, dtype=np.int64), np.array(score, dtype=np.float64)
         order = np.argsort(-lengths, kind="stable")
-        first = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(lengths) else lengths
-        score = np.array(score)
-        at = np.concatenate([np.arange(first[i], first[i] + lengths[i]) for i in order]) if len(order) else np.zeros(0, dtype=np.int64)
+        first = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        at = np.concatenate([np.arange(first[i], first[i + 1]) for i in order]) if len(order) else np.zeros(0, dtype=np.int64)
         out = np.zeros(len(score))
         out[at] = forward_backward(score[at], lengths[order], self.change)[0]
-        cuts = np.cumsum(np.bincount(owner, weights=lengths, minlength=len(texts)).astype(np.int64))[:-1] if len(texts) else []
-        return np.split(out, cuts), np.split(np.array(offsets, dtype=np.int64).reshape(-1, 2), cuts) if spans else None
+        spans: list[list[int]] = [[] for _ in texts]
+        for row in np.unique(np.searchsorted(first, np.flatnonzero(out >= 0.5), side="right") - 1).tolist():
+            base, line = places[row]
+            before = False
+            for m, hit in zip(TOKEN.finditer(line), out[first[row] : first[row + 1]] >= 0.5):
+                if hit and before:
+                    spans[owner[row]][-1] = base + m.end()
+                elif hit:
+                    spans[owner[row]] += (base + m.start(), base + m.end())
+                before = hit
+        cuts = np.cumsum(np.bincount(owner, weights=lengths, minlength=len(texts)).astype(np.int64))[:-1]
+        return np.split(out, cuts)[: len(texts)], [np.array(s, dtype=np.int32) for s in spans]
 
     def document_scores(self, by_text: list[np.ndarray]) -> np.ndarray:
         if self.constant is not None:
@@ -210,7 +235,7 @@ def train(texts: list[str], toxic: list[bool], epochs: int = 12, ridge: float =
         fast_c += (seen - pairs) ** 2
         change += 0.2 * (seen - pairs) / np.sqrt(fast_c)
     field = Field(weights, bias, change, np.zeros(4))
-    by_text = [m for lo in range(0, len(texts), 256) for m in field.marginals(texts[lo : lo + 256], spans=False)[0]]
+    by_text = [m for lo in range(0, len(texts), 256) for m in field.marginals(texts[lo : lo + 256])[0]]
     x, y = np.array([summary(m) for m in by_text]), np.array(toxic, dtype=np.float64)
     head = np.zeros(4)
     for _ in range(50):  # Newton steps of a ridged logistic fit
@@ -253,14 +278,8 @@ def score(docs: DataFrame, field: Field, chars: int = 2 << 20) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def answer(ids, texts, model):
-        marginal, places = model.marginals(texts)
+        marginal, spans = model.marginals(texts)
         value = model.document_scores(marginal)
-        spans = []
-        for m, p in zip(marginal, places):
-            hit = np.flatnonzero(m >= 0.5)
-            cut = np.flatnonzero(np.diff(hit) > 1)
-            lo, hi = hit[np.concatenate([[0], cut + 1])] if len(hit) else hit, hit[np.concatenate([cut, [-1]]).astype(int)] if len(hit) else hit
-            spans.append(np.stack([p[lo, 0], p[hi, 1]], axis=1).ravel().astype(np.int32) if len(hit) else np.zeros(0, dtype=np.int32))
         return pd.DataFrame(
             {"doc_id": pd.array(ids, dtype="Int64"), "score": value, "toxic_tokens": [int((m >= 0.5).sum()) for m in marginal], "offsets": spans}
         )
