@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quern.catalog.base import BATCH, SEG, ctes, log_expr, raw_expr, registry, rounded
 from quern.operators import bio, bulk, de, qc, reduce, views
 from quern.plans import surrogates
-from quern.plans.scratch import shared_dir
+from quern.plans.scratch import materialize, shared_dir
 from quern.session import table
 from quern.sources import matrices as files
 
@@ -24,8 +26,8 @@ lt AS (SELECT a.gene, a.cluster AS a, b.cluster AS b, a.s / a.n AS mean_a, b.s /
   FROM mo a JOIN mo b ON a.gene = b.gene AND a.cluster > b.cluster JOIN ev ON ev.gene = a.gene)"""
 
 
-def linear(spark, sf):
-    return de.linear_model_stats(de.cluster_moments(log_expr(spark, sf, "m4"), surrogates.segments(spark, sf)))
+def linear(spark, sf, expr=None):
+    return de.linear_model_stats(de.cluster_moments(log_expr(spark, sf, "m4") if expr is None else expr, surrogates.segments(spark, sf)))
 
 
 @add(f"{LINEAR} SELECT gene, a, b, round(t_stat, 6) AS t_stat, round(logfc, 6) AS logfc, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, df FROM lt")
@@ -44,7 +46,7 @@ s AS (SELECT gene, c1, c2, COUNT(*) FILTER (cluster = c1) AS n1, COUNT(*) FILTER
 w AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0 AS u, sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie / ((n1 + n2)::DOUBLE * (n1 + n2 - 1)))) AS sd FROM s)
 SELECT gene, c1, c2, n1, n2, u::DOUBLE AS u, round((abs(u - n1 * n2 / 2.0) - 0.5) / sd, 6) AS z FROM w""")
 def de_wilcoxon_u(spark, sf):
-    return rounded(de.wilcoxon_stats(raw_expr(spark, sf, "m4"), surrogates.segments(spark, sf)), "z")
+    return rounded(de.wilcoxon_stats(materialize(raw_expr(spark, sf, "m4"), "expr"), surrogates.segments(spark, sf)), "z")
 
 
 # a p-value that both engines compute: a logistic curve of t in both directions of each pair
@@ -52,8 +54,8 @@ TESTS = f"""{LINEAR}, te AS (SELECT gene, a, round(1 / (1 + exp(1.7 * t_stat)),
   UNION ALL SELECT gene, b AS a, round(1 / (1 + exp(-1.7 * t_stat)), 6) AS p_val FROM lt)"""
 
 
-def tests(spark, sf):
-    one = linear(spark, sf)
+def tests(spark, sf, expr=None):
+    one = materialize(linear(spark, sf, expr), "linear")
     p = lambda t: F.round(1 / (1 + F.exp(1.7 * t)), 6).alias("p_val")
     return one.select("gene", "a", p(F.col("t_stat"))).unionByName(one.select("gene", F.col("b").alias("a"), p(-F.col("t_stat"))))
 
@@ -82,8 +84,9 @@ fi AS (SELECT co.cluster, co.gene, p_val, mtc_p, round(100.0 * r / n, 2) AS perc
 
 
 def filtered(spark, sf):
-    combined = de.combine_tests(tests(spark, sf), "simes")
-    return de.filter_tests(combined, log_expr(spark, sf, "m4"), surrogates.segments(spark, sf), 0.5, 0.5)
+    expr = materialize(log_expr(spark, sf, "m4"), "expr")
+    combined = de.combine_tests(tests(spark, sf, expr), "simes")
+    return de.filter_tests(combined, expr, surrogates.segments(spark, sf), 0.5, 0.5)
 
 
 @add(f"{COMBINED} SELECT cluster, gene, round(p_val, 6) AS p_val, round(mtc_p, 6) AS mtc_p, perc_cells::DOUBLE AS perc_cells FROM fi")
@@ -111,7 +114,7 @@ w AS (SELECT gene, SUM(w) AS w FROM (SELECT gene, -1.0 / k / nt AS w FROM dr, nt
 sc AS (SELECT cell, SUM(w * value) AS score FROM e JOIN w ON e.gene = w.gene GROUP BY cell)
 SELECT c.cell, round(COALESCE(score, 0), 6) AS score FROM (SELECT DISTINCT cell FROM e) c LEFT JOIN sc ON c.cell = sc.cell""")
 def genes2scores(spark, sf):
-    expr = log_expr(spark, sf, "m3")
+    expr = materialize(log_expr(spark, sf, "m3"), "expr")
     targets = expr.select("gene").distinct().where("gene LIKE '%anvil%'")
     n = expr.select("cell").distinct().count()
     return rounded(reduce.genes2scores(expr, targets, n, bins=5, ctrl=5), "score")
@@ -142,7 +145,7 @@ def markers(spark, sf):
 
 def scored(spark, sf):
     clusters = surrogates.batches(spark, sf).withColumnRenamed("batch", "cluster")
-    return bio.cluster_zscores(bio.median_expression(log_expr(spark, sf, "m3"), clusters, 1))
+    return bio.cluster_zscores(bio.median_expression(materialize(log_expr(spark, sf, "m3"), "expr"), clusters, 1))
 
 
 @add(f"{SCORED} SELECT gene, round(weight, 6) AS weight FROM ww")
@@ -176,7 +179,7 @@ def cellmap(spark, sf):
 
 
 def sums(spark, sf):
-    return bulk.group_sums(surrogates.matrix(spark, sf, "m4"), cellmap(spark, sf))
+    return materialize(bulk.group_sums(surrogates.matrix(spark, sf, "m4"), cellmap(spark, sf)), "sums")
 
 
 @add(f"{SHARES} SELECT gene, ct, sample, round(share, 9) AS share FROM sh")
@@ -267,7 +270,7 @@ def overall_scatter(spark, sf):
 @add(f"{ctes('m2')} SELECT gene, CAST(cell AS VARCHAR) AS cell, count FROM m")
 def io_text_roundtrip(spark, sf):
     """The dense matrix exported as wide text, genes x cells, and read again."""
-    path = f"{shared_dir(spark)}/quern/export-{F.__name__}"
+    path = f"{shared_dir(spark)}/quern/export-{uuid.uuid4().hex}"
     wide = files.wide(raw_expr(spark, sf, "m2").withColumn("cell", F.col("cell").cast("string")))
     files.export(wide.coalesce(1), path, sep=",", compression="gzip")
     return files.read_text(spark, path, do_round=False, sep=",")

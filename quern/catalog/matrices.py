@@ -9,6 +9,7 @@ from quern.functions import stats
 from quern.functions.zeroagg import row_stats
 from quern.operators import hvg, norm, qc
 from quern.plans import surrogates
+from quern.plans.scratch import materialize
 from quern.session import table
 
 QUERIES, SQL, add = registry()
@@ -145,7 +146,7 @@ DENSE2 = """d AS (SELECT a.gene, b.cell, COALESCE(x.value, 0) AS value FROM (SEL
 
 
 def dense(spark, sf, name="m2"):
-    expr = log_expr(spark, sf, name)
+    expr = materialize(log_expr(spark, sf, name), "expr")
     return qc.densify(expr, expr.select("gene").distinct(), expr.select("cell").distinct())
 
 
@@ -221,7 +222,7 @@ s AS (SELECT bin, avg(dispersion) AS m, stddev_samp(dispersion) AS s FROM b GROU
 z AS (SELECT gene, mean, dispersion, b.bin, round((dispersion - m) / NULLIF(s, 0), 6) AS z FROM b JOIN s ON b.bin = s.bin)
 SELECT gene, round(mean, 6) AS mean, round(dispersion, 6) AS dispersion, bin, z FROM z ORDER BY z DESC NULLS LAST, gene LIMIT 50""")
 def hvg_seurat(spark, sf):
-    expr = log_expr(spark, sf, "m1")
+    expr = materialize(log_expr(spark, sf, "m1"), "expr")
     return rounded(hvg.seurat(expr, n_cells(expr), 50), "mean", "dispersion").select("gene", "mean", "dispersion", "bin", "z")
 
 
@@ -236,7 +237,7 @@ d AS (SELECT *, ln(kq) AS l, CASE WHEN kq - ke > 0 THEN abs(ln(CASE WHEN kq - ke
 SELECT gene, round(s, 6) AS s, round(p, 6) AS p,
   round((l - ln(50)) / sqrt(err * err + power(stddev_pop(l - ln(50)) OVER () / sqrt(COUNT(*) OVER ()), 2)), 6) AS z FROM d""")
 def hvg_mm_dropout(spark, sf):
-    expr = norm.standard(m(spark, sf))
+    expr = materialize(norm.standard(m(spark, sf)), "expr")
     return rounded(hvg.mm_z(hvg.dropout_points(expr, n_cells(expr)), 50.0).drop("always"), "s", "p", "z")
 
 
@@ -244,7 +245,7 @@ POINTS = "pt AS (SELECT gene, log10(mean) AS x, log10(sqrt(var) / mean) AS y FRO
 
 
 def points(spark, sf):
-    expr = norm.standard(m(spark, sf))
+    expr = materialize(norm.standard(m(spark, sf)), "expr")
     return hvg.log_cv(row_stats(expr, "gene", n_cells(expr)))
 
 
@@ -264,7 +265,7 @@ def hvg_chen_window_counts(spark, sf):
 SELECT gene, round(mean, 6) AS mean, round(var / (mean * mean), 6) AS cv2,
   round(var * (n - 1) / ((mean * 0.5 + mean * mean * th) / (1 + th / n)), 6) AS chi2 FROM st, n, t WHERE mean > 0""")
 def hvg_brennecke_cv2(spark, sf):
-    expr = norm.standard(m(spark, sf))
+    expr = materialize(norm.standard(m(spark, sf)), "expr")
     n = n_cells(expr)
     return rounded(hvg.brennecke_stat(row_stats(expr, "gene", n), n, 0.1, 0.5), "mean", "cv2", "chi2")
 
