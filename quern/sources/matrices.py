@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from quern.operators.bio import median_expression
 from quern.operators.qc import dedup_genes
 
 CONTROL = r"(?i)^ArrayControl-[0-9]+"
@@ -224,3 +225,22 @@ def export_vectors(comp: DataFrame, path: str, column: str = "comp", prefix: str
     value = lambda i: F.round(F.col(column)[i], 2) if do_round else F.col(column)[i]
     export(comp.select("cell", *[value(i).alias(f"{prefix}{i + 1}") for i in range(width)]), path, **args)
 
+
+
+def export_result(data, what: str, path: str, norm: str = "standard", clust: str = "leiden", min_size: int = 10, **args) -> None:
+    """Write a result of a data set: normalized, clusters, pca, tsne, umap, cell_type_pred, cell_type_pred_full or median_expr."""
+    if what == "normalized":
+        export_normalised(data.get(f"norm/{norm}"), path, **args)
+    elif what == "clusters":
+        export(data.get(f"clusters/{clust}"), path, **args)
+    elif what == "pca":
+        export_vectors(data.get("pca"), path, **args)
+    elif what in ("tsne", "umap"):
+        export(data.get(f"embedding/{what}"), path, **args)
+    elif what in ("cell_type_pred", "cell_type_pred_full"):
+        export(data.get(f"{what}/{clust}"), path, **args)
+    elif what == "median_expr":
+        medians = median_expression(data.get(f"norm/{norm}"), data.get(f"clusters/{clust}"), min_size)
+        export(medians.groupBy("gene").pivot("cluster").agg(F.first("median")), path, **args)
+    else:
+        raise ValueError(f"no export {what!r}")
