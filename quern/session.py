@@ -28,12 +28,22 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 _SHIPPED: set[str] = set()
 
 
+#: Arrow batches are held by both the executor and its Python worker; whole texts make them large.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once an application; workers need no installed copy."""
+    """Send this package to the executors, once an application; workers need no installed copy.
+
+    Also lowers Spark's bound on the bytes of an Arrow batch to ``BATCH_BYTES``, if it is higher.
+    """
     import os
     import tempfile
     import zipfile
 
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         root = os.path.dirname(os.path.abspath(__file__))
