@@ -43,7 +43,7 @@ UNIGRAM, BPE = 1, 2
 START, FALLBACK = -1, -2
 #: Above any piece's number: a pair is left * SPAN + right.
 SPAN = 1 << 24
-CHUNKS, PAIRS = 200_000, 400_000
+CHUNKS, PAIRS = 400_000, 400_000
 
 
 def read_model(path: str) -> dict:
