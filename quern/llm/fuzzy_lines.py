@@ -9,10 +9,11 @@ place) of each component stays. At similarity 0.8 a pair is missed with
 probability (1 - 0.8^4)^8 = 1.5 %, at 0.9 with 0.02 %.
 
 Equal lines are one line from the start (128-bit hash), so copies never pair up.
-A band bucket of more than ``bucket_limit`` different lines is not paired: each
-line is checked against the bucket's smallest, and the bucket is divided again by every other
-band, whose small parts are paired; large parts are again checked against their
-smallest. So work stays linear in a bucket's size.
+A band bucket of more than ``bucket_limit`` different lines is first checked against its smallest
+line only. What this leaves apart is then compared completely: the lines outside the bucket's largest
+component, with each other and with that component, in pairs of blocks spread over tasks (``BLOCK``
+lines or ``BLOCK_CHARS`` characters each). So a pair that shares a band is compared, or already in one
+component, whatever the bucket's size; the work is quadratic only in the lines outside that component.
 
 Texts move twice: the lines that are candidates (found with a bitmap of fixed
 size, 8 MB, that only lets some others through when it fills), and the documents when
@@ -189,23 +190,142 @@ def _stars(large: DataFrame) -> DataFrame:
     return large.where("key <> head").select(F.col("head").alias("u"), F.col("key").alias("v"))
 
 
-def _candidates(lines: DataFrame, bands: int, limit: int) -> DataFrame:
-    """Distinct candidate pairs ``(u, v)`` of line keys, from ``lines(key, sig)``."""
+def _band(i: int):
+    """Band ``i`` of a signature, as a number."""
+    return F.xxhash64(F.lit(i), F.expr(f"substring(sig, {8 * i + 1}, 8)"))
 
-    def band(i):  # band i of a signature, as a number
-        part = F.expr(f"substring(sig, {8 * i + 1}, 8)")
-        return F.xxhash64(F.lit(i), part)
 
-    every = lines.select("key", F.explode(F.array(*[band(i) for i in range(bands)])).alias("band"))
+def _candidates(lines: DataFrame, bands: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidate pairs ``(u, v)`` of line keys, from ``lines(key, sig)``; and ``(band, key)`` of the large buckets."""
+    every = lines.select("key", F.explode(F.array(*[_band(i) for i in range(bands)])).alias("band"))
     small, large = _buckets(every, limit)
-    pairs = _pairs(small).unionAll(_stars(large))
-    if large.limit(1).count():
-        again = large.select("band", "key").join(lines.select("key", "sig"), "key")
-        again = again.select("key", F.explode(F.array(*[F.xxhash64("band", band(i)) for i in range(bands)])).alias("band"))
-        # a band combined with itself is the same bucket again: its parts stay large and give the same star
-        parts, still = _buckets(again, limit)
-        pairs = pairs.unionAll(_pairs(parts)).unionAll(_stars(still))
-    return pairs.distinct()
+    return _pairs(small).unionAll(_stars(large)).distinct(), large.select("band", "key")
+
+
+BLOCK, BLOCK_CHARS = 512, 2_000_000
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None = None, step: int = 4096) -> np.ndarray:
+    """How many hashes each set of ``a`` shares with each of ``b`` (of ``a`` itself without ``b``; its diagonal isn't filled)."""
+    x, own = np.concatenate(a), np.repeat(np.arange(len(a)), [len(s) for s in a])
+    if b is None:
+        b, y, other = a, x, own
+        found, times = np.unique(x, return_counts=True)
+        shared = found[times > 1]
+    else:
+        y, other = np.concatenate(b), np.repeat(np.arange(len(b)), [len(s) for s in b])
+        shared = np.intersect1d(x, y)
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    if not len(shared):
+        return out
+
+    def places(tokens, rows):
+        at = np.minimum(np.searchsorted(shared, tokens), len(shared) - 1)
+        hit = shared[at] == tokens
+        order = np.argsort(at[hit], kind="stable")
+        return at[hit][order], rows[hit][order]
+
+    (at_x, row_x), (at_y, row_y) = places(x, own), places(y, other)
+    for lo in range(0, len(shared), step):
+        left, right = (np.zeros((len(sets), step), dtype=np.float32) for sets in (a, b))
+        for dense, at, rows in ((left, at_x, row_x), (right, at_y, row_y)):
+            i, j = np.searchsorted(at, [lo, lo + step])
+            dense[rows[i:j], at[i:j] - lo] = 1
+        out += left @ right.T
+    return out
+
+
+def block_links(one: pd.DataFrame, two: pd.DataFrame | None, index: int, width: int, threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links between the roots of two blocks (of one without ``two``) that join all their similar lines.
+
+    A pair that agrees on a band before ``index`` meets in that band's bucket.
+    """
+
+    def sets(frame):
+        hashes, starts = windows(list(frame["text"]), width)
+        ends = [*starts[1:].tolist(), len(hashes)]
+        return [distinct(hashes[i:j]) for i, j in zip(starts.tolist(), ends)], np.stack([np.frombuffer(s, dtype=np.uint64) for s in frame["sig"]])
+
+    (x, sig_x), (y, sig_y) = (first := sets(one)), first if two is None else sets(two)
+    other = one if two is None else two
+    labels, names = pd.factorize(pd.concat([one["root"], other["root"]]))
+    lx, ly = labels[: len(one)], labels[len(one) :]
+    both = overlaps(x, None if two is None else y)
+    n = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None]
+    gap = both - threshold * (n - both)
+    wanted = (lx[:, None] != ly[None]) & (sig_x[:, index][:, None] == sig_y[:, index][None])
+    for i in range(index):
+        wanted &= sig_x[:, i][:, None] != sig_y[:, i][None]
+    up, out = list(range(len(names))), []
+
+    def find(i):
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    def join(i, j):
+        i, j = find(i), find(j)
+        if i != j:
+            up[max(i, j)] = min(i, j)
+            out.append((names[i], names[j]))
+
+    i, j = np.nonzero(wanted & (gap > 4))
+    for code in np.unique(np.minimum(lx[i], ly[j]) * len(names) + np.maximum(lx[i], ly[j])).tolist():
+        join(*divmod(code, len(names)))
+    left, right = list(one["text"]), list(other["text"])
+    held: dict[str, frozenset[str]] = {}
+    for i, j in zip(*(p.tolist() for p in np.nonzero(wanted & (np.abs(gap) <= 4)))):  # hashes that fall together move the counts
+        if find(lx[i]) != find(ly[j]):
+            for line in (left[i], right[j]):
+                if line not in held:
+                    held[line] = shingle_set(line, width)
+            if jaccard(held[left[i]], held[right[j]]) >= threshold:
+                join(lx[i], ly[j])
+    return out
+
+
+def _large_links(large: DataFrame, lines: DataFrame, texts: DataFrame, roots: DataFrame, bands: int, width: int, threshold: float) -> DataFrame | None:
+    """Links ``(u, v)`` between roots (a line without one is its own) that pairs of large buckets still add; None if none can."""
+    named = large.join(roots.select(F.col("id").alias("key"), "root"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+    named = materialize(named, "line-large")
+    parts = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    found = named.join(main, "band").join(lines.select("key", "sig"), "key").join(texts, "key")
+    index = F.array_position(F.array(*[_band(i) for i in range(bands)]), F.col("band")).cast("int") - 1
+    rows = materialize(found.select("band", "key", "root", "sig", "text", index.alias("index"), (F.col("root") != F.col("main")).alias("rest")), "line-apart")
+    if not rows.limit(1).count():
+        return None
+
+    def blocks(rest):
+        n, chars = F.count(F.when(rest, 1)), F.sum(F.when(rest, F.length("text")).otherwise(0))
+        return F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(chars / BLOCK_CHARS)).cast("int")
+
+    sizes = rows.groupBy("band").agg(blocks(F.col("rest")).alias("nr"), blocks(~F.col("rest")).alias("nm"))
+    # blocks of the rest are numbered first; a block of the largest component meets only those
+    block = F.when(F.col("rest"), F.pmod(F.xxhash64("key"), F.col("nr"))).otherwise(F.col("nr") + F.pmod(F.xxhash64("key"), F.col("nm"))).cast("int")
+    last = F.when(F.col("rest"), F.col("nr") + F.col("nm")).otherwise(F.col("nr")) - 1
+    dealt = rows.join(sizes, "band").withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), last)))
+    dealt = dealt.select("band", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "index", "root", "sig", "text")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = frame["lo"].iloc[0], frame["hi"].iloc[0]
+        one, two = frame[frame["block"] == lo], None if lo == hi else frame[frame["block"] == hi]
+        links = [] if not len(one) or two is not None and not len(two) else block_links(one, two, int(frame["index"].iloc[0]), width, threshold)
+        return pd.DataFrame(links, columns=["u", "v"])
+
+    return dealt.groupBy("band", "lo", "hi").applyInPandas(run, "u binary, v binary")
+
+
+def _components(pairs: DataFrame, large: DataFrame, lines: DataFrame, texts: DataFrame, bands: int, width: int, threshold: float) -> DataFrame:
+    """``(id, root)`` of the lines with a similar one."""
+    roots = components(_verified(pairs, texts, width, threshold))
+    more = _large_links(large, lines, texts, roots, bands, width, threshold)
+    if more is None:
+        return roots
+    joined = components(more)
+    moved = roots.join(joined.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    # roots of one line were in no component before
+    return moved.unionAll(joined.join(roots.select("id"), "id", "left_anti").select("id", "root"))
 
 
 BITMAP_BITS = 1 << 26
@@ -282,10 +402,11 @@ def removals(
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "line").alias("place")
     every = materialize(_occurrences(named, MinHasher(width, bands, rows, seed)), "lines")
     lines = materialize(every.groupBy("key").agg(F.min(place).alias("place"), F.max("sig").alias("sig"), F.count(F.lit(1)).alias("n")), "line-classes")
-    pairs = materialize(_candidates(lines, bands, bucket_limit), "line-pairs")
+    candidates, large = _candidates(lines, bands, bucket_limit)
+    pairs = materialize(candidates, "line-pairs")
     wanted = pairs.select(F.col("u").alias("key")).unionAll(pairs.select("v")).distinct()
     texts = materialize(_texts_of(named, wanted), "line-texts")
-    roots = components(_verified(pairs, texts, width, threshold))
+    roots = _components(pairs, large, lines, texts, bands, width, threshold)
     member = lines.join(roots.withColumnRenamed("id", "key"), "key").select("key", "root", "place")
     first = member.groupBy("root").agg(F.min("place").alias("keep"))
     alone = lines.where("n > 1").join(roots.select(F.col("id").alias("key")), "key", "left_anti")

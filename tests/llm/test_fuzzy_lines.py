@@ -101,3 +101,21 @@ def test_signatures_estimate_similarity():
     for i in range(0, 80, 7):
         for j in range(i):
             assert abs((sig[i] == sig[j]).mean() - f.jaccard(f.shingle_set(lines[i], 9), f.shingle_set(lines[j], 9))) < 0.2
+
+
+def test_large_family_with_a_head_unlike_its_groups(spark):
+    rnd = random.Random(11)
+    word = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    common = word(140)
+    groups = []
+    for _ in range(1500):
+        tail = word(48)
+        at = rnd.randrange(len(tail) - 4)
+        groups.append((common + tail, common + tail[:at] + "WXYZ" + tail[at + 4 :]))
+    lines = [x for pair in groups for x in pair]
+    sigs = f.MinHasher().signatures(lines)
+    linked = [bool((sigs[2 * i] == sigs[2 * i + 1]).any()) and f.jaccard(shingles(a), shingles(b)) >= 0.8 for i, (a, b) in enumerate(groups)]
+    assert sum(linked) > 1000 and max(f.jaccard(shingles(lines[0]), shingles(x)) for x in lines[2:200]) < 0.8
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = {r.doc_id for r in f.removals(df).collect()}
+    assert gone == {2 * i + 1 for i, both in enumerate(linked) if both}
