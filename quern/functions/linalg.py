@@ -165,3 +165,35 @@ def nnls(a: np.ndarray, b: np.ndarray, ridge: float = 0.0, steps: int = 2000, to
         if most < tol * (1 + np.abs(x).max(initial=0.0)):
             break
     return x
+
+
+def nonnegative_ridge(a: np.ndarray, b: np.ndarray, ridge: float) -> np.ndarray:
+    """The minimum of ``|a x - b|^2 + ridge |x|^2`` over x >= 0, for ridge > 0, by block principal pivoting (Kim and Park, 2011).
+
+    Holds no matrix larger than ``a`` or than the square of its smaller side, so that columns can be many.
+    """
+    m, n = a.shape
+    target = a.T @ b
+    active = np.zeros(n, dtype=bool)
+    x, slope = np.zeros(n), -target
+    tol = 1e-10 * max(1.0, float(np.abs(target).max(initial=0.0)))
+    best, tries = n + 1, 3
+    while True:
+        wrong = np.where(active, x < -tol, slope < -tol)
+        count = int(wrong.sum())
+        if not count:
+            return np.maximum(x, 0.0)
+        if count < best:
+            best, tries = count, 3
+        elif tries:
+            tries -= 1
+        else:  # one at a time always ends
+            wrong = np.arange(n) == np.flatnonzero(wrong)[-1]
+        active = active ^ wrong
+        part, t = a[:, active], target[active]
+        x = np.zeros(n)
+        if part.shape[1] <= m:
+            x[active] = np.linalg.solve(part.T @ part + ridge * np.eye(part.shape[1]), t)
+        else:
+            x[active] = part.T @ np.linalg.solve(part @ part.T + ridge * np.eye(m), b)
+        slope = np.where(active, 0.0, a.T @ (part @ x[active]) - target)

@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.linalg import nnls
+from quern.functions.linalg import nnls, nonnegative_ridge
 from quern.functions.special import digamma, gamma_pdf, norm_pdf
 
 OFFSET = 1.01
+FITS = 500
 
 
 def _gamma_shape(v: float) -> float:
@@ -93,13 +94,16 @@ def dropout_rates(logs: DataFrame, clusters: DataFrame) -> DataFrame:
     )
 
 
-def impute(counts: DataFrame, clusters: DataFrame, drop_thres: float = 0.5, ridge: float = 1.0, max_neighbours: int = 200) -> DataFrame:
+def impute(counts: DataFrame, clusters: DataFrame, drop_thres: float = 0.5, ridge: float = 1.0) -> DataFrame:
     """``(gene, cell, value)``: counts with likely dropouts predicted from other cells of the cluster, rounded to 2 places.
 
-    A cell's sure genes are fitted on the same genes of at most ``max_neighbours`` other cells of its cluster by a positive
-    ridge regression, which predicts its unsure ones, at most up to the gene's largest value. Entries of 0 are not returned.
+    A cell's sure genes are fitted on the same genes of all other cells of its cluster by a positive ridge regression,
+    which predicts its unsure ones, at most up to the gene's largest value. Entries of 0 are not returned.
+    A task holds a cluster's matrix and fits ``FITS`` of its cells.
     """
-    rates = dropout_rates(log_cpm(counts), clusters)
+    parts = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / FITS).cast("int").alias("parts"))
+    rates = dropout_rates(log_cpm(counts), clusters).join(F.broadcast(parts), "cluster")
+    rates = rates.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     depth = counts.groupBy("cell").agg(F.sum("count").cast("double").alias("depth"))
     gene, cell = (counts.schema[c].dataType.simpleString() for c in ("gene", "cell"))
 
@@ -108,15 +112,18 @@ def impute(counts: DataFrame, clusters: DataFrame, drop_thres: float = 0.5, ridg
         drop = frame.pivot(index="gene", columns="cell", values="drop").reindex_like(value).to_numpy()
         x, out, cells = value.to_numpy(), value.to_numpy().copy(), list(value.columns)
         top = x.max(axis=1)
-        for i in range(len(cells)):
+        own = range(int(frame["part"].iloc[0]), len(cells), int(frame["parts"].iloc[0]))
+        for i in own:
             unsure = drop[:, i] > drop_thres
-            others = [j for j in range(len(cells)) if j != i][:max_neighbours]
-            if not unsure.any() or unsure.all() or not others:
+            others = np.arange(len(cells)) != i
+            if not unsure.any() or unsure.all() or not others.any():
                 continue
-            w = nnls(x[~unsure][:, others], x[~unsure, i], ridge, steps=300, tol=1e-6)
+            fit = nonnegative_ridge if ridge > 0 else nnls
+            w = fit(x[~unsure][:, others], x[~unsure, i], ridge)
             out[unsure, i] = np.minimum(x[unsure][:, others] @ w, top[unsure])
+        cells, out = [cells[i] for i in own], out[:, list(own)]
         return pd.DataFrame({"gene": np.repeat(value.index.to_numpy(), len(cells)), "cell": cells * len(x), "value": out.ravel()})
 
-    filled = rates.groupBy("cluster").applyInPandas(fill, f"gene {gene}, cell {cell}, value double")
+    filled = rates.groupBy("cluster", "part").applyInPandas(fill, f"gene {gene}, cell {cell}, value double")
     raw = F.round((F.pow(F.lit(10.0), "value") - OFFSET) * F.col("depth") / 1e6, 2)
     return filled.join(depth, "cell").select("gene", "cell", F.greatest(F.lit(0.0), raw).alias("value")).where("value > 0")

@@ -188,6 +188,40 @@ def test_mixture_and_imputation(spark):
     assert len(out) > len(held) and np.median([abs(out[k] - v) / v for k, v in held.items()]) < 0.05
 
 
+def test_nonnegative_ridge():
+    rnd = np.random.default_rng(10)
+    for m, n in ((40, 12), (12, 60)):
+        a, b = rnd.random((m, n)), rnd.random(m)
+        assert np.allclose(linalg.nonnegative_ridge(a, b, 0.5), linalg.nnls(a, b, 0.5, steps=20_000, tol=1e-13), atol=1e-6)
+
+
+def test_imputation_fits_on_all_other_cells(spark, monkeypatch):
+    rnd = np.random.default_rng(11)
+    cells = [(c, 0) for c in range(240)]
+    rows = [(f"g{g:02d}", c, int(v)) for g in range(16) for c, _ in cells if (v := rnd.poisson(20 + 10 * g) * (rnd.random() > 0.15))]
+    counts = spark.createDataFrame(rows, "gene string, cell long, count long")
+    clusters = spark.createDataFrame(cells, "cell long, cluster int")
+    rates = impute.dropout_rates(impute.log_cpm(counts), clusters).toPandas()
+    x = rates.pivot(index="gene", columns="cell", values="value")
+    drop = rates.pivot(index="gene", columns="cell", values="drop").to_numpy() > 0.5
+    depth, x = counts.toPandas().groupby("cell")["count"].sum(), x.to_numpy()
+    want = {}
+    for i in range(0, 240, 12):
+        others, unsure = np.arange(240) != i, drop[:, i]
+        if unsure.any():
+            a, b = x[~unsure][:, others], x[~unsure, i]
+            w = linalg.nonnegative_ridge(a, b, 1.0)
+            slope = a.T @ (a @ w - b) + w  # the smallest value has no slope where w > 0, and none downwards elsewhere
+            assert (w >= 0).all() and np.abs(slope[w > 0]).max() < 1e-6 and slope.min() > -1e-6
+            guess = np.minimum(x[unsure][:, others] @ w, x[unsure].max(axis=1))
+            want |= {(f"g{g:02d}", i): (10**v - impute.OFFSET) * depth[i] / 1e6 for g, v in zip(np.flatnonzero(unsure), guess)}
+    assert len(want) > 20
+    for fits in (500, 100):
+        monkeypatch.setattr(impute, "FITS", fits)
+        got = {(r.gene, r.cell): r.value for r in impute.impute(counts, clusters).collect()}
+        assert all(abs(got.get(k, 0.0) - max(0.0, v)) < 0.011 for k, v in want.items())
+
+
 def test_vsn_removes_depth(spark):
     rnd = np.random.default_rng(9)
     depth = rnd.uniform(0.5, 4, 150)
