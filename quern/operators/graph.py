@@ -88,25 +88,131 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return now
 
 
+#: links of a community that one task splits on; larger ones are split by joins
+TASK_LINKS = 500_000
+
+
+def _side(src: np.ndarray, dst: np.ndarray, d: np.ndarray, twice: float, seed: int) -> np.ndarray | None:
+    """Which nodes of a community go apart, by the first eigenvector of its generalised modularity matrix; None if that gains nothing.
+
+    ``src``, ``dst`` are the links inside, ``d`` degrees in the whole graph, whose sum is ``twice``.
+    """
+    n = len(d)
+    if n < 2:
+        return None
+    own = np.bincount(src, minlength=n) - d * (d.sum() / twice)
+    mul = lambda x: np.bincount(src, weights=x[dst], minlength=n) - d * ((d @ x) / twice) - own * x
+    if n <= 1000:
+        full = -np.outer(d, d) / twice
+        np.add.at(full, (src, dst), 1.0)
+        x = np.linalg.eigh(full - np.diag(own))[1][:, -1]
+    else:  # Lanczos, every vector kept orthogonal
+        q = np.random.default_rng(seed).normal(size=n)
+        held, diag, off = [q / np.linalg.norm(q)], [], []
+        for _ in range(150):
+            q = mul(held[-1])
+            diag.append(float(q @ held[-1]))
+            for _ in range(2):
+                for h in held:
+                    q -= (q @ h) * h
+            size = float(np.linalg.norm(q))
+            if size < 1e-10 * max(1.0, float(d.max())):
+                break
+            off.append(size)
+            held.append(q / size)
+        off = off[: len(diag) - 1]
+        x = np.linalg.eigh(np.diag(diag) + np.diag(off, 1) + np.diag(off, -1))[1][:, -1] @ np.stack(held[: len(diag)])
+    apart = x < 0
+    s = np.where(apart, -1.0, 1.0)
+    return apart if apart.any() and not apart.all() and s @ mul(s) > 1e-9 * twice else None
+
+
+def split_community(src: np.ndarray, dst: np.ndarray, d: np.ndarray, twice: float, seed: int = 42) -> np.ndarray:
+    """Labels from 0 of a community's nodes, split in two again and again while modularity grows."""
+    label, last, todo = np.zeros(len(d), dtype=np.int64), 0, [(np.arange(len(d)), src, dst)]
+    while todo:
+        members, src, dst = todo.pop()
+        apart = _side(src, dst, d[members], twice, seed)
+        if apart is None:
+            continue
+        last += 1
+        label[members[apart]] = last
+        for part in (apart, ~apart):
+            place = np.cumsum(part) - 1
+            inside = part[src] & part[dst]
+            todo.append((members[part], place[src[inside]], place[dst[inside]]))
+    return label
+
+
+def _split_by_joins(nodes: DataFrame, inner: DataFrame, twice: float, rounds: int, seed: int) -> DataFrame:
+    """``nodes(id, d, label)`` with ``apart``: each community's split by power iteration, false for all of one that gains nothing."""
+    own = inner.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("k"))
+    whole = nodes.groupBy("label").agg(F.sum("d").alias("whole"))
+    base = nodes.join(own, "id", "left").fillna(0.0, ["k"]).join(whole, "label").withColumn("own", F.col("k") - F.col("d") * F.col("whole") / twice)
+    # shifted by the largest degree inside, so that the wanted eigenvalue is the largest in size
+    tops = base.groupBy("label").agg(F.greatest(F.max("k"), F.lit(1.0)).alias("top"))
+    start = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1000)) / 500.0 - 1.0
+    now = materialize(base.join(tops, "label").select("id", "d", "label", "own", "top", start.alias("x")), "eigen")
+
+    def times(now):  # the modularity matrix times x, as y
+        sums = now.groupBy("label").agg((F.sum(F.col("d") * F.col("x")) / twice).alias("s"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
+        pulled = inner.join(now.select(F.col("id").alias("dst"), "x"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("x").alias("a"))
+        return now.join(pulled, "id", "left").join(sums, "label").withColumn("y", F.coalesce("a", F.lit(0.0)) - F.col("d") * F.col("s") - F.col("own") * F.col("x"))
+
+    for _ in range(rounds):
+        x = (F.col("y") + F.col("x") * F.col("top")) / (F.when(F.col("n") > 0, F.col("n")).otherwise(1.0) * F.col("top"))
+        new = materialize(times(now).select("id", "d", "label", "own", "top", x.alias("x")), "eigen")
+        release(now)
+        now = new
+    signs = now.withColumn("x", F.when(F.col("x") < 0, -1.0).otherwise(1.0))
+    gains = times(signs).groupBy("label").agg(F.sum(F.col("x") * F.col("y")).alias("gain"), F.min("x").alias("low"), F.max("x").alias("high"))
+    kept = gains.select("label", ((F.col("gain") > 1e-9 * twice) & (F.col("low") < F.col("high"))).alias("splits"))
+    out = materialize(signs.join(kept, "label").select("id", "d", "label", "splits", (F.col("splits") & (F.col("x") < 0)).alias("apart")), "sides")
+    release(now)
+    return out
+
+
 def leading_eigenvector(edges: DataFrame, rounds: int = 60, seed: int = 42) -> DataFrame:
-    """``(id, label)``: two communities by the sign of the modularity matrix's first eigenvector, by power iteration in joins."""
+    """``(id, label)``: communities split by the sign of the modularity matrix's first eigenvector, again inside each while modularity grows.
+
+    Communities of more than ``TASK_LINKS`` links are split all at once by ``rounds`` of power iteration in joins;
+    each smaller one is a task that splits it to the end.
+    """
     links = materialize(edges.where("src <> dst").select("src", "dst").distinct(), "graph")
-    degree = materialize(links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("d")), "degrees")
-    twice = degree.agg(F.sum("d")).first()[0] or 1.0
-    top = degree.agg(F.max("d")).first()[0] or 1.0
-    now = degree.withColumn("x", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1000)) / 500.0 - 1.0)
-    held = None
-    for turn in range(rounds):
-        share = now.agg((F.sum(F.col("d") * F.col("x")) / twice).alias("s"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n")).first()
-        size = share["n"] or 1.0
-        pulled = links.join(now.select(F.col("id").alias("dst"), "x"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("x").alias("a"))
-        # shifted by the largest degree, so that the wanted eigenvalue is the largest in size
-        new = now.join(pulled, "id").select("id", "d", ((F.col("a") - F.col("d") * share["s"] + F.col("x") * top) / (size * top)).alias("x"))
-        now = materialize(new, "eigen")
-        if held is not None:
-            release(held)
-        held = now
-    return now.select("id", F.when(F.col("x") >= 0, 0).otherwise(1).alias("label"))
+    degree = links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("d"))
+    nodes = materialize(degree.select("id", "d", F.lit(0).cast("long").alias("label"), F.lit(True).alias("open")), "communities")
+    twice = nodes.agg(F.sum("d")).first()[0] or 1.0
+    level = 0
+    while True:
+        ends = [nodes.where("open").select(F.col("id").alias(end), F.col("label").alias(name)) for end, name in (("src", "label"), ("dst", "other"))]
+        inner = materialize(links.join(ends[0], "src").join(ends[1], "dst").where("label = other").select("label", "src", "dst"), "inner")
+        large = inner.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TASK_LINKS).select("label")
+        if not large.limit(1).count():
+            break
+        level += 1
+        some = materialize(nodes.where("open").join(large, "label", "left_semi").select("id", "d", "label"), "large")
+        split = _split_by_joins(some, inner.join(large, "label", "left_semi"), twice, rounds, seed)
+        label = F.when(F.col("apart"), F.xxhash64("label", F.lit(level))).otherwise(F.col("label"))
+        rest = nodes.join(some.select("id"), "id", "left_anti")
+        new = materialize(rest.unionAll(split.select("id", "d", label.alias("label"), F.col("splits").alias("open"))), "communities")
+        for old in (nodes, inner, some, split):
+            release(old)
+        nodes = new
+
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def run(mine: pd.DataFrame, within: pd.DataFrame) -> pd.DataFrame:
+        mine = mine.sort_values("id")
+        names = pd.Index(mine["id"])
+        src, dst = (names.get_indexer(within[c]) for c in ("src", "dst"))
+        parts = split_community(src, dst, mine["d"].to_numpy(), twice, seed)
+        return pd.DataFrame({"id": names, "label": mine["label"].to_numpy(), "part": parts})
+
+    tasks = nodes.where("open").groupBy("label").cogroup(inner.groupBy("label")).applyInPandas(run, f"id {kind}, label long, part long")
+    found = materialize(tasks.unionAll(nodes.where("not open").select("id", "label", F.lit(0).cast("long").alias("part"))), "parts")
+    firsts = found.groupBy("label", "part").agg(F.min("id").alias("first"))
+    order = firsts.withColumn("number", F.row_number().over(Window.orderBy("first")) - 1).drop("first")  # a row a community
+    return found.join(order, ["label", "part"]).select("id", F.col("number").alias("label"))
 
 
 # kernels on an edge list that fits the driver

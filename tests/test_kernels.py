@@ -120,6 +120,29 @@ def test_linkage_methods():
             assert abs(out[-1, 2] - top) < 1e-9
 
 
+@pytest.mark.parametrize("task_links", [500_000, 500])
+def test_leading_eigenvector_splits_on(spark, monkeypatch, task_links):
+    rnd, sizes = np.random.default_rng(3), (12, 20, 30, 44)
+    truth = [k for k, size in enumerate(sizes) for _ in range(size)]
+    g = graph.Graph(len(truth))
+    for i in range(len(truth)):
+        for j in range(i):
+            if rnd.random() < (0.7 if truth[i] == truth[j] else 0.01):
+                g.add(i, j)
+    edges = spark.createDataFrame([(i, j) for i, near in enumerate(g.near) for j in near], "src long, dst long")
+    monkeypatch.setattr(graph, "TASK_LINKS", task_links)
+    found = {r.id: r.label for r in graph.leading_eigenvector(edges, rounds=40).collect()}
+    assert same_partition([found[i] for i in range(len(truth))], truth)
+
+
+def test_split_of_many_nodes_by_lanczos():
+    g, truth = planted(groups=6, size=250, inside=0.2, outside=0.004)
+    links = np.array([(i, j) for i in range(len(truth)) for j in g.near[i]])
+    degree = np.bincount(links[:, 0], minlength=len(truth)).astype(float)
+    label = graph.split_community(links[:, 0], links[:, 1], degree, degree.sum())
+    assert graph.modularity(g, label.tolist()) >= graph.modularity(g, truth) - 0.03
+
+
 def test_nnls():
     rnd = np.random.default_rng(4)
     a, x = rnd.random((30, 5)), np.array([0.5, 0, 2, 0, 1.0])
