@@ -1,13 +1,11 @@
 """The pipeline stage by stage against plain versions, on a whole small table."""
 
-import hashlib
-import re
 from collections import Counter
 
 import sentencepiece
 from docs import ROWS, empty, frame
 from test_fuzzy_lines import expected
-from test_pareto_mix import level
+from test_pareto_mix import plain_mix
 from test_simhash_golay import components, plain_fingerprint
 
 import corpus_pipeline
@@ -20,30 +18,6 @@ def test_entry_names():
     assert set(entry.oracle_sql()) <= set(names)
 
 
-def size(text):
-    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
-
-
-def plain_mix(rows):
-    """Copies by doc_id, all documents of a source in one sorted list."""
-    by = {}
-    for r in rows:
-        by.setdefault(r.source, []).append((size(r.text), r.doc_id))
-    order = sorted(by)
-    sizes = {s: sum(n for n, _ in docs) for s, docs in by.items()}
-    target = level(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)})
-    copies = {}
-    for s, docs in by.items():
-        ratio = min(3.0, target[s] / sizes[s]) if sizes[s] else 0.0
-        certain = int(ratio + 1e-12)
-        need, run = target[s] - certain * sizes[s], 0
-        draw = lambda d: int(hashlib.md5(f"mix:{d}".encode()).hexdigest()[:12], 16)
-        for n, doc in sorted(docs, key=lambda t: (draw(t[1]), t[1])):
-            copies[doc] = certain + (need > 1e-6 and run + n / 2 <= need)
-            run += n
-    return copies
-
-
 def test_stages_against_plain_versions(spark, sf_dir):
     docs = first = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before, held = docs.collect(), []
@@ -64,8 +38,7 @@ def test_stages_against_plain_versions(spark, sf_dir):
     text = {r.doc_id: r.text for r in lines}
     group = components([plain_fingerprint(text[i]) for i in ids])
     assert sorted(r.doc_id for r in apart) == sorted(min(i for i, g in zip(ids, group) if g == c) for c in set(group))
-    copies = plain_mix(apart)
-    assert Counter(r.doc_id for r in mix) == Counter({d: int(n) for d, n in copies.items() if n})
+    assert Counter((r.doc_id, r.text) for r in mix) == +plain_mix(apart)
     library = sentencepiece.SentencePieceProcessor(model_file=piece_fst.default_model())
     assert Counter((r.doc_id, tuple(r.ids)) for r in encoded) == Counter((r.doc_id, tuple(library.encode(r.text))) for r in mix)
     again = corpus_pipeline.run(spark, sf_dir).collect()
