@@ -10,9 +10,11 @@ on them with the true labels. At the end each view is calibrated by Platt
 scaling on labelled rows left out of its training, and the document's log-odds
 are the calibrated views' sum, weighted by a third logistic fit on those rows.
 
-Fitting reads a bounded sample: at most ``max_labelled`` labelled and
-``max_unlabelled`` other documents, those with the smallest hashes of their ids,
-among documents of ``max_chars`` characters or fewer. Scoring reads all documents whole.
+Bin edges are quantiles of all documents, and every round scores all unlabelled documents under both views: the
+logits of each view are counted in fine bins, which gives the thresholds of its surest documents. Models are fitted on bounded
+samples of labelled and pseudo-labelled rows: at most ``max_labelled`` labelled documents, and of the documents a view is surest of
+``max_pseudo``, those with the smallest hashes. Features of all documents are computed once, whole texts whatever their
+length, and kept in a written table while fitting.
 
 Defined results: null and empty texts are scored by their features (all zero); null metadata
 is a value of its own; repeated rows are rows of their own; labels that disagree on a doc_id, or
@@ -31,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.plans.scratch import materialize
+
 WORD = re.compile(r"\S+")
 HASHED = 64
 
@@ -97,9 +101,8 @@ def meta_view(text: str | None, lang, source) -> tuple[list[float], list[int]]:
 class Binned:
     """A logistic model over one-hot quantile bins of numbers, and hashed categories."""
 
-    def __init__(self, numbers: np.ndarray, bins: int = 16):
-        cuts = np.unique(np.concatenate([np.linspace(0, 1, bins + 1)[1:-1], [0.005, 0.015, 0.03, 0.97, 0.985, 0.995]]))
-        self.edges = [np.unique(np.quantile(x, cuts)) for x in numbers.T]
+    def __init__(self, edges: list):
+        self.edges = [np.unique(np.array(e, dtype=np.float64)) for e in edges]
         self.start = np.concatenate([[0], np.cumsum([len(e) + 1 for e in self.edges])]).astype(np.int64)
         self.weights = None
 
@@ -153,48 +156,50 @@ class CoTrained:
         return 1.0 / (1.0 + np.exp(-np.clip(x @ self.mix, -30, 30)))
 
 
-def train(content, record, named, label, rounds: int = 4, sure: float = 0.05) -> CoTrained:
-    """``label`` is 1, 0 or -1 (unlabelled). Every fifth labelled row calibrates and trains neither view."""
+#: Quantiles that bins end at.
+CUTS = sorted({*(np.arange(1, 16) / 16).tolist(), 0.005, 0.015, 0.03, 0.97, 0.985, 0.995})
+#: Logits are counted in bins of 1/64 between -32 and 32.
+REACH, FINE = 32, 64
+#: A view never labels documents whose odds are nearer to even than this logit.
+CALM = 1.5
+
+
+def train(known: pd.DataFrame, edges: tuple[list, list], surest, rounds: int = 4, sure: float = 0.05) -> CoTrained:
+    """``known`` holds labelled rows (flag, content, record, named). Every fifth of each label calibrates and trains neither view.
+
+    ``surest(views, turn share, share of good ones)`` gives for each view the rows it labels, with ``flag``.
+    """
     model = CoTrained()
-    label = np.asarray(label)
-    known = np.flatnonzero(label >= 0)
-    if not len(known) or len(set(label[known])) < 2:
-        model.constant = float(label[known].mean()) if len(known) else 1.0
+    label = known["flag"].to_numpy(dtype=np.int64)
+    if not len(label) or len(set(label)) < 2:
+        model.constant = float(label.mean()) if len(label) else 1.0
         return model
     left = np.zeros(len(label), dtype=bool)
     for c in (0, 1):
         left[np.flatnonzero(label == c)[4::5]] = True
     if len(set(label[left])) < 2:
-        left = label >= 0
-        own = label >= 0
+        left[:] = True
+        own = left
     else:
-        own = (label >= 0) & ~left
-    none = np.zeros((len(label), 0), dtype=np.int64)
-    a, b = Binned(content), Binned(record)
-    views = [(a, a.design(content, none)), (b, b.design(record, named))]
-    pool = np.flatnonzero(label < 0)
+        own = ~left
+    a, b = Binned(edges[0]), Binned(edges[1])
+    views = (a, b)
+    cols = designs(views, known)
     share = label[own].mean()
-    pseudo = [np.full(len(label), -1), np.full(len(label), -1)]  # labels given to each view by the other one
+    given = [None, None]  # rows labelled for each view by the other one
     for turn in range(rounds + 1):
-        for (view, cols), given in zip(views, pseudo):
-            use = own | (given >= 0)
-            y = np.where(own, label, given)[use].astype(np.float64)
-            view.fit(cols[use], y, np.where(own, 1.0, 0.3)[use])
-        if turn == rounds or not len(pool):
-            break
-        many = max(2, int(len(pool) * sure * (turn + 1)))
-        for i, (view, cols) in enumerate(views):
-            logit = view.logit(cols[pool])
-            order = pool[np.argsort(logit, kind="stable")]
-            bad, good = max(1, int(many * (1 - share))), max(1, int(many * share))
-            calm = np.abs(view.logit(cols[order])) > 1.5  # never labels it isn't sure of
-            low, high = order[:bad][calm[:bad]], order[-good:][calm[-good:]]
-            other = pseudo[1 - i]
-            other[:] = -1
-            other[low[view.logit(cols[low]) < 0]] = 0
-            other[high[view.logit(cols[high]) > 0]] = 1
+        for i, view in enumerate(views):
+            x, y, w = cols[i][own], label[own].astype(np.float64), np.ones(int(own.sum()))
+            if given[i] is not None and len(given[i]):
+                x = np.concatenate([x, designs(views, given[i])[i]])
+                y = np.concatenate([y, given[i]["flag"].to_numpy(dtype=np.float64)])
+                w = np.concatenate([w, np.full(len(given[i]), 0.3)])
+            view.fit(x, y, w)
+        if turn < rounds:
+            labelled = surest(views, sure * (turn + 1), share)
+            given = [labelled[1], labelled[0]]
     model.content, model.record = a, b
-    za, zb, y = a.logit(views[0][1][left]), b.logit(views[1][1][left]), label[left].astype(np.float64)
+    za, zb, y = a.logit(cols[0][left]), b.logit(cols[1][left]), label[left].astype(np.float64)
     model.cal_a, model.cal_b = _platt(za[:, None], y), _platt(zb[:, None], y)
     both = np.column_stack([za * model.cal_a[0] + model.cal_a[1], zb * model.cal_b[0] + model.cal_b[1]])
     model.mix = _platt(both, y)
@@ -205,34 +210,99 @@ def train(content, record, named, label, rounds: int = 4, sure: float = 0.05) ->
     return model
 
 
+def designs(views, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Both views' column numbers of feature rows."""
+    content, record, named = (np.stack(rows[c].to_numpy()) for c in ("content", "record", "named"))
+    return views[0].design(content, np.zeros((len(rows), 0), dtype=np.int64)), views[1].design(record, named.astype(np.int64))
+
+
 def _frames(batch: pd.DataFrame):
     content = np.array([text_view(t) for t in batch["text"]], dtype=np.float64).reshape(len(batch), -1)
     pairs = [meta_view(t, la, s) for t, la, s in zip(batch["text"], batch["lang"], batch["source"])]
     return content, np.array([p[0] for p in pairs]).reshape(len(batch), -1), np.array([p[1] for p in pairs], dtype=np.int64).reshape(len(batch), -1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_unlabelled: int = 6000, max_chars: int = 100_000, **options) -> CoTrained:
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high")
-    first = lambda df, n: df.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id").limit(n).drop("_h")
-    marked = first(known.select("doc_id", F.col("low").cast("int").alias("_flag")), max_labelled)
-    short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
-    others = first(docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti"), max_unlabelled)
-    some = marked.unionByName(others.select("doc_id", F.lit(-1).alias("_flag")))
+FEATURES = "doc_id long, tie long, content array<double>, record array<double>, named array<long>"
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """``(doc_id, tie, content, record, named)`` of every row; ``tie`` is a hash of the text."""
 
     def run(batches):
         for batch in batches:
             content, record, named = _frames(batch)
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "flag": batch["_flag"], "content": list(content), "record": list(record), "named": list(named)}
-            )
-
-    rows = short.join(F.broadcast(some), "doc_id").select(F.col("doc_id").cast("long"), "text", "lang", "source", "_flag")
-    schema = "doc_id long, flag int, content array<double>, record array<double>, named array<long>"
-    rows = rows.mapInPandas(run, schema).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    if not len(rows):
-        return train(np.zeros((0, CONTENT)), np.zeros((0, 3)), np.zeros((0, 2), dtype=np.int64), [], **options)
-    return train(np.stack(rows["content"]), np.stack(rows["record"]), np.stack(rows["named"]), rows["flag"].to_numpy(), **options)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "tie": batch["tie"], "content": list(content), "record": list(record), "named": list(named)})
+
+    columns = [F.col(c).cast("string") for c in ("text", "lang", "source")]
+    tie = F.xxhash64(*[F.coalesce(c, F.lit("")) for c in columns])
+    return docs.select(F.col("doc_id").cast("long"), tie.alias("tie"), *columns).mapInPandas(run, FEATURES)
+
+
+def _logits(batch: pd.DataFrame, views) -> list[np.ndarray]:
+    return [view.logit(cols) for view, cols in zip(views, designs(views, batch))]
+
+
+def _surest(pool: DataFrame, max_pseudo: int):
+    """The function that :func:`train` asks for rows of ``pool`` to label."""
+    total = pool.count()
+    context = pool.sparkSession.sparkContext
+
+    def find(views, share_of_pool: float, good: float):
+        if not total:
+            return None, None
+        sent = context.broadcast(views)
+
+        def count(batches):
+            for batch in batches:
+                for i, logit in enumerate(_logits(batch, sent.value) if len(batch) else ()):
+                    at, n = np.unique(np.floor((np.clip(logit, -REACH, REACH - 1e-9) + REACH) * FINE).astype(np.int64), return_counts=True)
+                    yield pd.DataFrame({"view": i, "bin": at, "n": n})
+
+        # 2 * 2 * REACH * FINE rows at most
+        held = pool.mapInPandas(count, "view int, bin int, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).toPandas()
+        many, limits = max(2, total * share_of_pool), []
+        for i in (0, 1):
+            mine = held[held["view"] == i].set_index("bin")["n"].sort_index()
+            up, down = mine.cumsum(), mine[::-1].cumsum()
+            low = up.index[up.searchsorted(min(many * (1 - good), total))]  # the bin that holds the last of the surest
+            high = down.index[down.searchsorted(min(many * good, total))]
+            limits.append((min((low + 1) / FINE - REACH, -CALM), max(high / FINE - REACH, CALM)))
+
+        def choose(batches):
+            for batch in batches:
+                for i, logit in enumerate(_logits(batch, sent.value) if len(batch) else ()):
+                    for flag, pick in ((0, logit < limits[i][0]), (1, logit >= limits[i][1])):
+                        yield batch[pick].assign(view=i, flag=flag)
+
+        found = pool.mapInPandas(choose, FEATURES + ", view int, flag int")
+        hashed = found.withColumn("h", F.xxhash64("doc_id", "tie"))
+        out = []
+        for i in (0, 1):
+            parts = [
+                hashed.where((F.col("view") == i) & (F.col("flag") == flag)).orderBy("h", "doc_id", "tie").limit(max(1, int(max_pseudo * part)))
+                for flag, part in ((0, 1 - good), (1, good))
+            ]
+            out.append(parts[0].unionAll(parts[1]).toPandas().sort_values(["h", "doc_id", "tie"]))
+        return tuple(out)
+
+    return find
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pseudo: int = 2000, **options) -> CoTrained:
+    """Two co-trained views. Of labelled rows with one id the one with the smallest hash counts."""
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
+    agreed = known.where("low = high").select("doc_id", F.col("low").cast("int").alias("flag"))
+    marked = agreed.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_labelled).drop("h")
+    every = materialize(features(docs), "quality-features")
+    rows = every.join(F.broadcast(marked), "doc_id")  # max_labelled rows of two numbers
+    held = F.struct("flag", "content", "record", "named")
+    rows = rows.groupBy("doc_id").agg(F.min_by(held, F.col("tie")).alias("row")).select("doc_id", "row.*").toPandas().sort_values("doc_id")
+    numbers = [*[F.col("content")[i] for i in range(CONTENT)], *[F.col("record")[i] for i in range(3)]]
+    quantiles = every.agg(*[F.percentile_approx(x, CUTS, 10_000) for x in numbers]).first()
+    edges = [list(q or [0.0]) for q in quantiles]
+    pool = every.join(known.select("doc_id"), "doc_id", "left_anti")
+    return train(rows, (edges[:CONTENT], edges[CONTENT:]), _surest(pool, max_pseudo), **options)
 
 
 def _scorer(sent):

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.names import unused
 from quern.plans.components import components
 from quern.plans.scratch import materialize
 
@@ -418,13 +419,16 @@ def removals(
 
 
 def dedupe_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the text of every document without its removed lines; columns as they are."""
-    return _applied(docs, **options).select(*docs.columns)
+    """``docs`` with the text of every document without its removed lines; columns as they are, whatever their names."""
+    out, gone = _applied(docs, **options)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _applied(docs: DataFrame, **options) -> DataFrame:
-    out = removals(docs, **options).select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), F.col("gone").alias("_gone"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
+def _applied(docs: DataFrame, **options) -> tuple[DataFrame, str]:
+    """``docs`` with shortened texts, and the name of the added column with the removed places."""
+    doc, tie, gone = unused(docs, "doc", "tie", "gone")
+    out = removals(docs, **options).select(F.col("doc_id").alias(doc), F.col("tie").alias(tie), F.col("gone").alias(gone))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(tie))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
@@ -436,9 +440,10 @@ def _applied(docs: DataFrame, **options) -> DataFrame:
 
         return pd.Series([cut(t, g) for t, g in zip(texts, gone)], dtype=object)
 
-    return docs.join(out, same, "left").withColumn("text", without("text", "_gone"))
+    return docs.join(out, same, "left").withColumn("text", without(F.col("text").cast("string"), F.col(gone))), gone
 
 
 def op4_fuzzy_lines(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return _applied(docs).select("doc_id", F.size(F.coalesce("_gone", F.array().cast("array<int>"))).alias("lines_removed"), "text")
+    out, gone = _applied(docs)
+    return out.select("doc_id", F.size(F.coalesce(gone, F.array().cast("array<int>"))).alias("lines_removed"), "text")

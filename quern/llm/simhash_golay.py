@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import golay
+from quern.llm.names import unused
 from quern.plans.components import components
 from quern.plans.scratch import materialize
 
@@ -55,15 +56,16 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp)``: the fingerprint as a signed long; long columns ``keep`` pass through."""
 
     def run(batches):
         for batch in batches:
             fp = np.array([fingerprint(t, width) for t in batch["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp} | {c: batch[c] for c in keep})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep)
+    return rows.mapInPandas(run, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in keep)]))
 
 
 def golay_keys(fps: DataFrame) -> DataFrame:
@@ -108,35 +110,50 @@ def links(fps: DataFrame, bucket_limit: int = 64) -> DataFrame:
     return pairs.unionAll(stars)
 
 
+def _classes(fps: DataFrame, first, bucket_limit: int) -> DataFrame:
+    """``(fp, first, keep)`` of each fingerprint of ``fps``: its smallest ``first``, and that of its component."""
+    classes = materialize(fps.groupBy("fp").agg(F.min(first).alias("first")), "classes")
+    roots = components(links(classes, bucket_limit))
+    joined = classes.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    lowest = joined.groupBy("root").agg(F.min("first").alias("keep"))
+    return materialize(joined.join(lowest, "root").select("fp", "first", "keep"), "members")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, bucket_limit: int = 64) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, a row for each row of ``docs(doc_id, text)``."""
     marked = materialize(fingerprints(docs, width), "fingerprints")
-    classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    roots = components(links(classes, bucket_limit))
-    joined = classes.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    lowest = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = materialize(joined.join(lowest, "root").select("fp", "component_id"), "members")
+    member = _classes(marked, F.col("doc_id"), bucket_limit).select("fp", F.col("keep").alias("component_id"))
     return marked.join(member, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the document of smallest doc_id of every component; columns as they are.
+def one_of_each(docs: DataFrame, width: int = 3, bucket_limit: int = 64) -> DataFrame:
+    """One row of ``docs`` for each component, columns as they are, whatever their names.
 
-    Rows with a null doc_id stay (nothing names them); of repeated rows with the kept doc_id one stays.
+    The row kept is the first by (null doc_id last, doc_id, fingerprint, hash of the text); rows equal in all of these are one,
+    and the one with the smallest hash of its other columns stays. Two texts of one doc_id are two documents.
     """
-    found = near_duplicates(docs, **options)
-    kept = found.where("component_id = doc_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi")
-    once = named.dropDuplicates(["doc_id"]) if _repeats(named) else named
-    return once.unionByName(docs.where("doc_id is null"))
-
-
-def _repeats(docs: DataFrame) -> bool:
-    return bool(docs.groupBy("doc_id").count().where("count > 1").take(1))
+    text = F.col("text").cast("string")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    tie = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "tie")
+    marked = materialize(fingerprints(narrow.withColumn("tie", tie), width, keep=("tie",)), "fingerprints")
+    member = _classes(marked, order, bucket_limit)
+    kept = member.select("keep").distinct().select(F.struct(F.col("keep.none"), F.col("keep.doc_id"), F.col("keep.tie")).alias("keep")).distinct()
+    kept = materialize(kept, "kept")
+    (name,) = unused(docs, "keep")
+    mine = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tie"))
+    named = docs.withColumn(name, mine)
+    on = kept.select(F.col("keep.none").alias("n"), F.col("keep.doc_id").alias("d"), F.col("keep.tie").alias("t"))
+    x = F.col(name)
+    named = named.join(on, (x["none"] == F.col("n")) & x["doc_id"].eqNullSafe(F.col("d")) & (x["tie"] == F.col("t")), "left_semi")
+    # rows of one id and text meet only if there are any
+    if not marked.groupBy("doc_id", "tie").count().where("count > 1").limit(1).count():
+        return named.select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = named.groupBy(name).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row"))
+    return once.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op7_simhash_golay(spark, sf_dir):

@@ -13,9 +13,9 @@ tokens. Spans are runs of tokens with a marginal of at least one half.
 A sequence is a line, and so spans end with it. All lines of a batch step together in numpy, longest
 first; feature sums are kept by word in a cache of bounded size.
 
-Training reads a bounded sample of whole labelled documents: at most ``max_docs``
-of them (a third toxic, if there are as many), those with the smallest hashes of their ids,
-among documents of ``max_chars`` characters or fewer. Scoring reads all documents whole.
+Training reads a bounded sample of labelled documents: at most ``max_docs`` of them (a third toxic, if there
+are as many), those with the smallest hashes of their ids; of texts above ``max_chars`` characters it takes lines from all
+over the text, by hash. Scoring reads all documents whole.
 Without toxic or without clean training documents every score is the share of
 toxic ones (0 without any).
 
@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"\w+")
 DIM = 1 << 18
 CACHE = 300_000
+#: Longest part of a line that an excerpt takes or leaves as one, in characters.
+CUT = 2000
 
 
 def feature_names(word: str) -> list[str]:
@@ -62,7 +64,7 @@ def feature_ids(word: str) -> list[int]:
 
 
 class _Scores(dict):
-    """Log-odds by word, made when first asked for; starts anew when full."""
+    """Log-odds by word, made when first asked for; starts anew when full, and doesn't remember words of more than 64 characters."""
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights.tolist(), bias
@@ -71,7 +73,9 @@ class _Scores(dict):
         if len(self) >= CACHE:
             self.clear()
         weights = self.weights
-        found = self[word] = self.bias + sum([weights[i] for i in feature_ids(word)])
+        found = self.bias + sum([weights[i] for i in feature_ids(word)])
+        if len(word) <= 64:
+            self[word] = found
         return found
 
 
@@ -246,18 +250,46 @@ def train(texts: list[str], toxic: list[bool], epochs: int = 12, ridge: float =
     return field
 
 
+def excerpt(text: str | None, max_chars: int) -> str:
+    """The text, or of a longer one the parts with the smallest hashes: lines, cut after ``CUT`` characters, in their order."""
+    if text is None or len(text) <= max_chars:
+        return text or ""
+    parts, at = [], 0
+    while at < len(text):
+        end = text.find("\n", at, at + CUT)
+        end = at + CUT if end < 0 else end + 1
+        parts.append(text[at:end])
+        at = end
+    order = sorted(range(len(parts)), key=lambda i: (zlib.crc32(f"{i}:{parts[i]}".encode("utf-8", "surrogatepass")), i))
+    some, left = [], max_chars
+    for i in order:
+        left -= len(parts[i])
+        if left < 0:
+            break
+        some.append(i)
+    return "".join(parts[i] if parts[i].endswith("\n") else parts[i] + "\n" for i in sorted(some))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, flag: str, keep, of_one: int, of_zero: int, max_chars: int) -> DataFrame:
-    """A bounded sample of labelled rows of ``docs`` with ``_flag``, by the smallest hashes of their ids.
+    """``(doc_id, flag, text)``: a bounded sample of labelled documents, by the smallest hashes of their ids.
 
-    At most ``of_one`` and ``of_zero`` rows by label; documents longer than ``max_chars`` are no part of it.
+    At most ``of_one`` and ``of_zero`` documents by label, of whatever length; a text of more than ``max_chars`` characters
+    gives an :func:`excerpt` from all over it. Of rows with one id the one with the smallest hash of its text counts.
     """
     known = labels.where(F.col(flag).isNotNull() & F.col("doc_id").isNotNull()).where(keep)
     known = known.groupBy("doc_id").agg(F.min(flag).alias("low"), F.max(flag).alias("high")).where("low = high")
-    known = known.select("doc_id", F.col("low").alias("_flag"), F.xxhash64("doc_id").alias("_h"))
-    some = known.where("_flag = 1").orderBy("_h", "doc_id").limit(of_one)
-    some = some.unionAll(known.where("_flag = 0").orderBy("_h", "doc_id").limit(of_zero))
-    short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
-    return short.join(F.broadcast(some.select("doc_id", "_flag")), "doc_id")  # of_one + of_zero rows of two numbers
+    known = known.select("doc_id", F.col("low").alias("flag"), F.xxhash64("doc_id").alias("h"))
+    some = known.where("flag = 1").orderBy("h", "doc_id").limit(of_one)
+    some = some.unionAll(known.where("flag = 0").orderBy("h", "doc_id").limit(of_zero))
+
+    @F.pandas_udf("string")
+    def part(texts: pd.Series) -> pd.Series:
+        return pd.Series([excerpt(t, max_chars) for t in texts], dtype=object)
+
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", whole.alias("text")).join(F.broadcast(some.select("doc_id", "flag")), "doc_id")  # of_one + of_zero rows of two numbers
+    rows = rows.select("doc_id", "flag", F.xxhash64("text").alias("tie"), part("text").alias("text"))
+    return rows.groupBy("doc_id", "flag").agg(F.min_by("text", "tie").alias("text"))
 
 
 def fold(doc_id):
@@ -267,10 +299,8 @@ def fold(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4500, max_chars: int = 30_000, keep=None, **options) -> Field:
     """A field trained on labelled rows for which ``keep`` (a condition on labels' doc_id) holds."""
     keep = F.lit(True) if keep is None else keep
-    rows = training_rows(docs.select("doc_id", "text"), labels, "toxic", keep, max_docs // 3, max_docs - max_docs // 3, max_chars)
-    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_flag").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-    return train(rows["text"].tolist(), rows["_flag"].tolist(), **options)
+    rows = training_rows(docs, labels, "toxic", keep, max_docs // 3, max_docs - max_docs // 3, max_chars).toPandas().sort_values("doc_id")
+    return train(rows["text"].tolist(), rows["flag"].tolist(), **options)
 
 
 def score(docs: DataFrame, field: Field, chars: int = 2 << 20) -> DataFrame:

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.names import unused
+
 #: Symbols are UTF-8 bytes, then the host's end.
 END, SYMBOLS = 256, 257
 ANY, RUN = -1, -2
@@ -111,7 +113,7 @@ def path_of(url: Column) -> Column:
 
 
 def judge(pages: DataFrame, url_col: str = "url", rules=RULES, default: str = "allow", step: int = 4096) -> DataFrame:
-    """``pages`` with ``host``, ``path``, ``rule`` (null if none fits) and ``verdict`` added.
+    """``pages`` with ``host``, ``path``, ``rule`` (null if none fits) and ``verdict`` added; columns of ``pages`` with these names give way.
 
     ``step`` URLs are simulated together, which bounds a worker's memory.
     """
@@ -139,8 +141,12 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, default: str = "a
             {"rule": [names[b] if b >= 0 else None for b in found], "verdict": [rules[b][0] if b >= 0 else default for b in found]}
         )
 
-    parts = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
-    return parts.withColumn("_fit", fitting("host", "path")).withColumns({"rule": F.col("_fit.rule"), "verdict": F.col("_fit.verdict")}).drop("_fit")
+    added = ("host", "path", "rule", "verdict")
+    name, fit = unused(pages, "parts", "fit")
+    parts = pages.withColumn(name, F.struct(host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")))
+    found = parts.withColumn(fit, fitting(F.col(name)["host"], F.col(name)["path"]))
+    others = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in added]
+    return found.select(*others, F.col(name)["host"].alias("host"), F.col(name)["path"].alias("path"), F.col(fit)["rule"].alias("rule"), F.col(fit)["verdict"].alias("verdict"))
 
 
 def op2_url_globs(spark, sf_dir):

@@ -7,16 +7,14 @@ from quern.llm import ball_tree as b
 
 
 def brute(rows, k):
-    v = {}
-    for i, x in rows:
-        if i is not None and x and all(c is not None and math.isfinite(c) for c in x):
-            v.setdefault(i, []).append([math.floor(256 * float(np.float32(c))) for c in x])
-    out = set()
-    for q in v:
+    """Every row with a query's id asks all rows but itself."""
+    v = [(i, [math.floor(256 * float(np.float32(c))) for c in x]) for i, x in rows if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x)]
+    out = []
+    for at, (q, x) in enumerate(v):
         if q % 50 == 0:
-            scores = sorted((-sum(a * c for a, c in zip(min(v[q]), y)), i) for i in v if i != q for y in v[i] if len(y) == len(min(v[q])))
-            out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])}
-    return out
+            scores = sorted((-sum(a * c for a, c in zip(x, y)), i) for other, (i, y) in enumerate(v) if other != at and len(x) == len(y))
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+    return sorted(out)
 
 
 def test_against_brute_force_with_many_shards(spark):
@@ -24,13 +22,14 @@ def test_against_brute_force_with_many_shards(spark):
     rows = [(i, [rnd.gauss(0, 0.3) for _ in range(8)]) for i in range(400)]
     rows += [(i, rows[7][1]) for i in range(400, 450)]  # ties
     rows += [(500, None), (501, [None, 1.0]), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (504, []), (None, [0.1] * 8)]
-    rows += [(600, [0.5, -0.5]), (601, [0.25, 0.25]), (50, rows[3][1]), (-50, [0.0] * 8)]
+    rows += [(600, [0.5, -0.5]), (601, [0.25, 0.25]), (50, rows[3][1]), (-50, [0.0] * 8), (700, []), (701, []), (505, [])]
+    rows += [(100, [0.9] * 8)] * 9 + [(100, [0.8] * 8), (150, rows[150][1])]  # repeated rows and ids
     df = spark.createDataFrame([(i, x, "s") for i, x in rows], "vec_id long, embedding array<float>, score string")
     vectors = b.integer_vectors(df, "vec_id", "embedding", 256)
     want = brute(rows, 5)
     for shard_rows in (32, 100_000):
         got = b.top_k(vectors, vectors.where("id % 50 = 0"), 5, shard_rows=shard_rows, leaf_rows=8).collect()
-        assert len(got) == len(want) and {tuple(r) for r in got} == want
+        assert sorted(tuple(r) for r in got) == want
     none = vectors.where("false")
     assert b.top_k(none, none).count() == 0
     assert b.top_k(vectors, none).count() == 0

@@ -1,6 +1,7 @@
 import random
 
 from docs import ROWS, empty, frame
+from pyspark.sql import functions as F
 
 from quern.llm import fuzzy_lines as f
 
@@ -119,3 +120,12 @@ def test_large_family_with_a_head_unlike_its_groups(spark):
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     gone = {r.doc_id for r in f.removals(df).collect()}
     assert gone == {2 * i + 1 for i, both in enumerate(linked) if both}
+
+
+def test_columns_with_the_names_inside(spark):
+    docs = frame(spark)
+    for name in ("_gone", "_t", "_d", "gone", "doc", "tie", "place", "line"):
+        docs = docs.withColumn(name, F.lit(name))
+    out = f.dedupe_lines(docs)
+    assert out.columns == docs.columns and sorted(map(str, out.select("doc_id", "text").collect())) == sorted(map(str, f.dedupe_lines(frame(spark)).select("doc_id", "text").collect()))
+    assert out.select("_gone", "gone", "tie").distinct().collect() == [("_gone", "gone", "tie")]

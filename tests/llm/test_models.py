@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pandas as pd
 from docs import ROWS, empty, frame
+from pyspark.sql import functions as F
 
 from quern.llm import cotrain_quality as q
 from quern.llm import toxic_crf as t
@@ -96,3 +97,46 @@ def test_quality_rows(spark):
     assert q.score(empty(spark), model).count() == 0
     assert q.fit(empty(spark), labels).constant == 1.0
     assert q.fit(frame(spark), labels.where("quality = 1")).constant == 1.0
+
+
+def test_excerpts_come_from_all_over():
+    text = "\n".join(f"line {i} with words" for i in range(10_000))
+    some = t.excerpt(text, 5_000)
+    lines = some.split("\n")[:-1]
+    assert 4_000 < len(some) <= 5_000 + len(lines) and set(lines) <= set(text.split("\n")) and int(lines[-1].split()[1]) > 8_000
+    assert t.excerpt("x" * 100_000, 5_000).count("x") == 4_000 and t.excerpt(None, 5) == "" and t.excerpt("abc", 5) == "abc"
+
+
+def test_repeated_ids_are_one_training_row(spark):
+    rows = [(1, f"text {i} of one id") for i in range(10_000)] + [(2, "you moron"), (3, "a fine day")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0)] * 50, "doc_id long, toxic int")
+    sample = t.training_rows(docs, labels, "toxic", F.lit(True), 10, 10, 1000)
+    assert sample.count() == 3 and sorted(sample.collect()) == sorted(t.training_rows(docs.repartition(7), labels, "toxic", F.lit(True), 10, 10, 1000).collect())
+
+
+def test_thresholds_of_the_surest_come_from_all_rows(spark):
+    """One feature by view; the surest tenth of 3,000 rows is found, whatever bound its sample has."""
+    rnd = np.random.default_rng(5)
+    rows = [(i, i, [float(x)] * q.CONTENT, [float(x)] * 3, [0, 0]) for i, x in enumerate(rnd.normal(size=3000))]
+    pool = spark.createDataFrame(rows, q.FEATURES)
+    edges = [list(np.linspace(-2, 2, 30))]
+    views = q.Binned(edges * q.CONTENT), q.Binned(edges * 3)
+    for view in views:
+        view.weights = np.zeros(int(view.start[-1]) + q.HASHED + 1)
+        view.weights[: 31] = np.linspace(-6, 6, 31)
+    every, few = q._surest(pool, 10**6)(views, 0.1, 0.5), q._surest(pool, 20)(views, 0.1, 0.5)
+    logit = np.sort(views[0].logit(views[0].design(np.array([r[2] for r in rows]), np.zeros((3000, 0), dtype=np.int64))))
+    for held, some in zip(every, few):
+        low, high = held[held["flag"] == 0], held[held["flag"] == 1]
+        assert len(low) == (logit <= logit[149]).sum() and len(high) == (logit >= logit[-150]).sum()
+        assert len(some) == 20 and set(some["doc_id"]) <= set(held["doc_id"])
+
+
+def test_repeated_unlabelled_ids(spark):
+    rows = [(1, "said again", "en", "a")] * 3000 + [(i, "a fine text here, with words.", "en", "a") for i in range(2, 40)] + [(i, "$$$ $$$ !!! JUNK", "en", "b") for i in range(40, 80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(2, 70)] * 2, "doc_id long, quality int")
+    model = q.fit(docs, labels, max_pseudo=100)
+    got = {r.doc_id: r.score for r in q.score(docs, model).collect()}
+    assert all(got[i] >= 0.5 for i in range(2, 40)) and all(got[i] < 0.5 for i in range(40, 80))

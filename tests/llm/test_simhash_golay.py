@@ -3,6 +3,7 @@ import re
 
 import xxhash
 from docs import ROWS, empty, frame
+from pyspark.sql import functions as F
 
 from quern.llm import golay
 from quern.llm import simhash_golay as g
@@ -84,6 +85,7 @@ def test_rows(spark):
     kept = g.one_of_each(frame(spark))
     assert kept.columns == frame(spark).columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "6", "8", "None"]
+    assert len(kept.collect()) == 6
     assert g.near_duplicates(empty(spark)).count() == 0 and g.one_of_each(empty(spark)).count() == 0
 
 
@@ -95,3 +97,13 @@ def test_whole_table_against_brute_force(spark, sf_dir):
     group = components(fps)
     want = {(i, f"{f:016x}", min(j for j, k in zip(ids, group) if k == c)) for i, f, c in zip(ids, fps, group)}
     assert {tuple(r) for r in g.op7_simhash_golay(spark, sf_dir).collect()} == want
+
+
+def test_one_of_each_keeps_every_distinct_text(spark):
+    long = " ".join(f"u{i}" for i in range(40))
+    rows = [(1, "a b c d e f g", "x"), (1, "quite other words stand here now", "y"), (2, "a b c d e f g", "z"), (None, long, "p"), (None, long, "q"), (3, long, "r")]
+    rows += [(7, "said again and again by one id", "s")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, keep string").withColumn("fp", F.lit(1)).withColumn("row", F.lit(2))
+    kept = g.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, rows[0][1]), (1, rows[1][1]), (3, long), (7, rows[-1][1])])

@@ -46,3 +46,10 @@ def test_automaton_against_fnmatch_over_many_words():
     assert engine.words > 4
     hit = engine.match([np.frombuffer(t.encode(), dtype=np.uint8).astype(np.int16) for t in texts])
     assert hit.tolist() == [[fnmatch.fnmatchcase(t, g) for g in globs] for t in texts]
+
+
+def test_columns_with_the_names_inside(spark):
+    pages = spark.createDataFrame([(1, "http://a.example.com/en/x", "f", "h", "p")], "page_id long, url string, _fit string, host string, parts string")
+    got = u.judge(pages)
+    assert sorted(got.columns) == ["_fit", "host", "page_id", "parts", "path", "rule", "url", "verdict"]
+    assert got.select("_fit", "parts", "host", "rule").first() == ("f", "p", "a.example.com", "example.com/en/")
