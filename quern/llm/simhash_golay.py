@@ -6,10 +6,14 @@ at most 2 bits in the next one, so they share a key made of the exact segment
 and one of the next segment's Golay indices (6 at most). Keys join distinct
 fingerprints only, and every candidate is verified.
 
-A bucket above ``bucket_limit`` is not paired: its fingerprints are linked
+Up to ``WIDE`` = 5 bits apart, two segments differ by at most 1 and 2 bits (the other way round 2 and 3 would
+be 7 in all three), so they share a Golay index in both: 3 pairs of segments with up to 6 x 6 keys. The pipeline's stage uses this.
+
+Within 2 bits, a bucket above ``bucket_limit`` is not paired: its fingerprints are linked
 through their one-bit neighbours instead. Two fingerprints are within 2 bits
 exactly if they share such a neighbour, and all that share one are a clique,
-so a star per neighbour (65 rows a fingerprint) is exact and linear.
+so a star per neighbour (65 rows a fingerprint) is exact and linear. For wider radii such a bucket is
+compared in pairs of blocks of ``BLOCK`` fingerprints spread over tasks, each giving a spanning forest of its links only.
 
 Defined results: null text counts as empty; a text without words has
 fingerprint zero and links like any other; repeated rows are rows of their own
@@ -30,11 +34,12 @@ from pyspark.sql import functions as F
 from quern.llm import golay
 from quern.llm.names import unused
 from quern.plans.components import components
-from quern.plans.scratch import materialize
+from quern.plans.scratch import materialize, release
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+WIDE, BLOCK = 5, 2048
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -68,40 +73,86 @@ def fingerprints(docs: DataFrame, width: int = 3, keep: tuple[str, ...] = ()) ->
     return rows.mapInPandas(run, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in keep)]))
 
 
-def golay_keys(fps: DataFrame) -> DataFrame:
-    """``(key, fp)``: at most 18 keys for each fingerprint of ``fps(fp)``."""
+def golay_keys(fps: DataFrame, radius: int = 2) -> DataFrame:
+    """``(key, fp)``: for each fingerprint of ``fps(fp)`` 18 keys at most, or 108 for a radius above 2."""
 
     def run(batches):
         for batch in batches:
-            fp = batch["fp"].to_numpy(dtype=np.int64).view(np.uint64)
-            part = [((fp >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
-            for s in range(3):
-                near = np.sort(golay.index_sets(part[(s + 1) % 3]), axis=1)
-                fresh = np.ones(near.shape, dtype=bool)
-                fresh[:, 1:] = near[:, 1:] != near[:, :-1]
-                row, col = np.nonzero(fresh)
-                key = (np.int64(s) << 34) | (part[s][row] << 12) | near[row, col].astype(np.int64)
-                yield pd.DataFrame({"key": key, "fp": fp.view(np.int64)[row]})
+            for lo in range(0, len(batch), 8192):
+                fp = batch["fp"].to_numpy(dtype=np.int64)[lo : lo + 8192].view(np.uint64)
+                part = [((fp >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
+                near = [np.sort(golay.index_sets(x), axis=1).astype(np.int64) for x in part]
+                fresh = [np.concatenate([np.ones((len(fp), 1), dtype=bool), x[:, 1:] != x[:, :-1]], axis=1) for x in near]
+                for s in range(3):
+                    t = (s + 1) % 3
+                    if radius <= 2:
+                        row, col = np.nonzero(fresh[t])
+                        key = (np.int64(s) << 34) | (part[s][row] << 12) | near[t][row, col]
+                    else:
+                        row, one, two = np.nonzero(fresh[s][:, :, None] & fresh[t][:, None, :])
+                        key = (np.int64(s) << 34) | (near[s][row, one] << 12) | near[t][row, two]
+                    yield pd.DataFrame({"key": key, "fp": fp.view(np.int64)[row]})
 
     return fps.select("fp").mapInPandas(run, "key long, fp long")
 
 
-def links(fps: DataFrame, bucket_limit: int = 64) -> DataFrame:
-    """Links ``(u, v)`` of distinct fingerprints at most 2 bits apart; their closure is that of all links.
+def forest(fp: np.ndarray, other: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between ``fp`` and ``other`` (also within, if they are the same array)."""
+    up: dict[int, int] = {}
+
+    def find(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for lo in range(0, len(fp), 256):
+        part = fp[lo : lo + 256]
+        row, col = np.nonzero(np.bitwise_count(part.view(np.uint64)[:, None] ^ other.view(np.uint64)[None, :]) <= radius)
+        for x, y in zip(part[row].tolist(), other[col].tolist()):
+            if x != y and (a := find(x)) != (b := find(y)):
+                up[a] = b
+                out.append((x, y))
+    return out
+
+
+def _blocks(wide: DataFrame, radius: int) -> DataFrame:
+    """Links ``(u, v)`` that span each bucket of ``wide(key, fp, n)``: pairs of blocks are tasks' work."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    mine = wide.withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = mine.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "fp")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = frame["lo"].iloc[0], frame["hi"].iloc[0]
+        one, two = (frame["fp"][frame["block"] == at].to_numpy(dtype=np.int64) for at in (lo, hi))
+        return pd.DataFrame(forest(one, two, radius), columns=["u", "v"], dtype=np.int64)
+
+    return dealt.groupBy("key", "lo", "hi").applyInPandas(run, "u long, v long")
+
+
+def links(fps: DataFrame, bucket_limit: int = 64, radius: int = 2) -> DataFrame:
+    """Links ``(u, v)`` of distinct fingerprints at most ``radius`` bits apart; their closure is that of all links.
 
-    Small buckets give every verified pair; large ones a star for each shared one-bit neighbour.
+    Small buckets give every verified pair; large ones a star for each shared one-bit neighbour, or spanning forests.
     """
-    keys = materialize(golay_keys(fps), "golay-keys")
+    if radius > WIDE:
+        raise ValueError(f"no keys for more than {WIDE} bits")
+    keys = materialize(golay_keys(fps, radius), "golay-keys")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(keys.join(sizes, "key"), "golay-shared")
+    release(keys)
     small = shared.where(F.col("n") <= bucket_limit)
     pairs = (
         small.select("key", F.col("fp").alias("u"))
         .join(small.select("key", F.col("fp").alias("v")), "key")
-        .where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2))
+        .where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius))
         .select("u", "v")
     )
-    wide = shared.where(F.col("n") > bucket_limit).select("fp").distinct()
+    wide = shared.where(F.col("n") > bucket_limit)
+    if radius > 2:
+        return pairs.unionAll(_blocks(wide, radius))
+    wide = wide.select("fp").distinct()
     flipped = wide.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i")).select(
         "fp", F.expr("CASE WHEN i = 64 THEN fp ELSE fp ^ shiftleft(1L, i) END").alias("near")
     )
@@ -110,10 +161,10 @@ def links(fps: DataFrame, bucket_limit: int = 64) -> DataFrame:
     return pairs.unionAll(stars)
 
 
-def _classes(fps: DataFrame, first, bucket_limit: int) -> DataFrame:
+def _classes(fps: DataFrame, first, bucket_limit: int, radius: int = 2) -> DataFrame:
     """``(fp, first, keep)`` of each fingerprint of ``fps``: its smallest ``first``, and that of its component."""
     classes = materialize(fps.groupBy("fp").agg(F.min(first).alias("first")), "classes")
-    roots = components(links(classes, bucket_limit))
+    roots = components(links(classes, bucket_limit, radius))
     joined = classes.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = joined.groupBy("root").agg(F.min("first").alias("keep"))
     return materialize(joined.join(lowest, "root").select("fp", "first", "keep"), "members")
@@ -128,8 +179,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, bucket_limit: int = 64) ->
     )
 
 
-def one_of_each(docs: DataFrame, width: int = 3, bucket_limit: int = 64) -> DataFrame:
-    """One row of ``docs`` for each component, columns as they are, whatever their names.
+def one_of_each(docs: DataFrame, width: int = 3, bucket_limit: int = 64, radius: int = WIDE) -> DataFrame:
+    """One row of ``docs`` for each component of fingerprints at most ``radius`` bits apart, columns as they are, whatever their names.
 
     The row kept is the first by (null doc_id last, doc_id, fingerprint, hash of the text); rows equal in all of these are one,
     and the one with the smallest hash of its other columns stays. Two texts of one doc_id are two documents.
@@ -139,7 +190,7 @@ def one_of_each(docs: DataFrame, width: int = 3, bucket_limit: int = 64) -> Data
     tie = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "tie")
     marked = materialize(fingerprints(narrow.withColumn("tie", tie), width, keep=("tie",)), "fingerprints")
-    member = _classes(marked, order, bucket_limit)
+    member = _classes(marked, order, bucket_limit, radius)
     kept = member.select("keep").distinct().select(F.struct(F.col("keep.none"), F.col("keep.doc_id"), F.col("keep.tie")).alias("keep")).distinct()
     kept = materialize(kept, "kept")
     (name,) = unused(docs, "keep")

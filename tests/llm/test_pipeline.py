@@ -9,7 +9,7 @@ from test_pareto_mix import plain_mix
 from test_simhash_golay import components, plain_fingerprint
 
 import corpus_pipeline
-from quern.llm import cotrain_quality, entry, piece_fst
+from quern.llm import cotrain_quality, entry, piece_fst, simhash_golay
 
 
 def test_entry_names():
@@ -36,7 +36,7 @@ def test_stages_against_plain_versions(spark, sf_dir):
     assert len(lines) == len(good) and len({(r.doc_id, r.text) for r in lines} & want) >= 0.98 * len(good)
     ids = sorted(r.doc_id for r in lines)
     text = {r.doc_id: r.text for r in lines}
-    group = components([plain_fingerprint(text[i]) for i in ids])
+    group = components([plain_fingerprint(text[i]) for i in ids], simhash_golay.WIDE)
     assert sorted(r.doc_id for r in apart) == sorted(min(i for i, g in zip(ids, group) if g == c) for c in set(group))
     assert Counter((r.doc_id, r.text) for r in mix) == +plain_mix(apart)
     library = sentencepiece.SentencePieceProcessor(model_file=piece_fst.default_model())

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 import xxhash
 from docs import ROWS, empty, frame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def components(fps):
+def components(fps, radius=2):
     root = list(range(len(fps)))
 
     def find(i):
@@ -27,7 +28,7 @@ def components(fps):
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 2:
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
                 root[find(i)] = find(j)
     return [find(i) for i in range(len(fps))]
 
@@ -47,13 +48,15 @@ def test_golay_code_is_perfect():
         assert x & y and len(x) in (1, 6)
 
 
-def test_links_find_all_components(spark):
+@pytest.mark.parametrize("radius", [2, 5])
+def test_links_find_all_components(spark, radius, monkeypatch):
+    monkeypatch.setattr(g, "BLOCK", 100)
     rnd = random.Random(2)
     fps = {0}
     for _ in range(150):
         base = rnd.getrandbits(64)
         for _ in range(rnd.randint(1, 12)):
-            for p in rnd.sample(range(64), rnd.randint(0, 3)):
+            for p in rnd.sample(range(64), rnd.randint(0, radius + 1)):
                 base ^= 1 << p
             fps.add(base)
     base = rnd.getrandbits(64)  # a large group, near each other
@@ -61,10 +64,10 @@ def test_links_find_all_components(spark):
         fps.add(base ^ sum(1 << p for p in rnd.sample(range(64), rnd.randint(0, 4))))
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    want = components(fps)
-    for limit in (4, 64, 10_000):
+    want = components(fps, radius)
+    for limit in (4, 10_000):
         df = spark.createDataFrame([(s,) for s in signed], "fp long")
-        got = {r.id: r.root for r in g.components(g.links(df, limit)).collect()}
+        got = {r.id: r.root for r in g.components(g.links(df, limit, radius)).collect()}
         groups = {}
         for s, w in zip(signed, want):
             groups.setdefault(w, set()).add(got.get(s, s))
