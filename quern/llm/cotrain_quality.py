@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.plans.scratch import materialize
+from quern.plans.scratch import materialize, release
 
 WORD = re.compile(r"\S+")
 HASHED = 64
@@ -275,7 +275,7 @@ def _surest(pool: DataFrame, max_pseudo: int):
                         yield batch[pick].assign(view=i, flag=flag)
 
         found = pool.mapInPandas(choose, FEATURES + ", view int, flag int")
-        hashed = found.withColumn("h", F.xxhash64("doc_id", "tie"))
+        hashed = materialize(found.withColumn("h", F.xxhash64("doc_id", "tie")), "quality-surest")
         out = []
         for i in (0, 1):
             parts = [
@@ -283,6 +283,7 @@ def _surest(pool: DataFrame, max_pseudo: int):
                 for flag, part in ((0, 1 - good), (1, good))
             ]
             out.append(parts[0].unionAll(parts[1]).toPandas().sort_values(["h", "doc_id", "tie"]))
+        release(hashed)
         return tuple(out)
 
     return find
@@ -302,7 +303,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pseudo
     quantiles = every.agg(*[F.percentile_approx(x, CUTS, 10_000) for x in numbers]).first()
     edges = [list(q or [0.0]) for q in quantiles]
     pool = every.join(known.select("doc_id"), "doc_id", "left_anti")
-    return train(rows, (edges[:CONTENT], edges[CONTENT:]), _surest(pool, max_pseudo), **options)
+    model = train(rows, (edges[:CONTENT], edges[CONTENT:]), _surest(pool, max_pseudo), **options)
+    release(every)
+    return model
 
 
 def _scorer(sent):
