@@ -121,12 +121,12 @@ def pca_lanczos(spark, sf):
 
 @add()
 def jackstraw(spark, sf):
-    return reduce.jackstraw(as_cells(spark, sf), list(range(64)), 5, 40, 0.1)[1]
+    return reduce.jackstraw(as_cells(spark, sf), list(range(64)), 5, 500)[1]
 
 
 @add()
 def jackstraw_bars(spark, sf):
-    return views.jackstraw_bars(reduce.jackstraw(as_cells(spark, sf), list(range(64)), 5, 40, 0.1)[1])
+    return views.jackstraw_bars(reduce.jackstraw(as_cells(spark, sf), list(range(64)), 5, 500)[1])
 
 
 def _community(algorithm):
@@ -148,17 +148,17 @@ def cluster_generate(spark, sf):
 
 @add()
 def tsne(spark, sf):
-    return reduce.tsne(as_cells(spark, sf), "v", n_iter=150)
+    return reduce.tsne(as_cells(spark, sf), "v")
 
 
 @add()
 def umap(spark, sf):
-    return reduce.umap(graph.knn(vectors(spark, sf), 15), n_epochs=100)
+    return reduce.umap(graph.knn(vectors(spark, sf), 15))
 
 
 @add()
 def force_graph(spark, sf):
-    return reduce.force_graph(edges(spark, sf), iterations=100)
+    return reduce.force_graph(edges(spark, sf))
 
 
 @add()

@@ -16,10 +16,16 @@ class Family:
 
     spark_family: str | None = None
     spark_link: str | None = None
+    #: Whether the dispersion is estimated (deviance over degrees of freedom) or 1.
+    has_dispersion: bool = True
 
     def inv_link(self, nu):
         return nu
 
+    def start(self, mean: float) -> float:
+        """The linear predictor that a fit without Spark's own family starts from."""
+        return mean
+
     def d_inv_link(self, nu, mu):
         return np.ones_like(nu)
 
@@ -43,7 +49,7 @@ class Gaussian(Family):
 
 class Bernoulli(Family):
     def __init__(self):
-        super().__init__("binomial", "logit")
+        super().__init__("binomial", "logit", False)
 
     def inv_link(self, nu):
         return 1 / (1 + np.exp(-nu))
@@ -83,6 +89,10 @@ class QuasiPoisson(Family):
 
 
 class Poisson(QuasiPoisson):
+    def __init__(self):
+        super().__init__()
+        self.has_dispersion = False
+
     def sample(self, mu, dispersion, rnd):
         return rnd.poisson(mu).astype(float)
 
@@ -107,6 +117,10 @@ class Gamma(Family):
 
 
 class Exponential(Gamma):
+    def __init__(self):
+        super().__init__()
+        self.has_dispersion = False
+
     def sample(self, mu, dispersion, rnd):
         return rnd.exponential(mu)
 
@@ -138,7 +152,12 @@ def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 class GLM:
-    """A model fitted by distributed iterated least squares (Spark ML), with an R-style formula or feature names."""
+    """A model fitted by distributed iterated least squares, with an R-style formula or feature names.
+
+    Coefficients of families that Spark ML knows come from it; a subclass of :class:`Family` without a Spark family is fitted
+    by Fisher scoring, a job a step. Dispersion, information, deviance, errors and p-values always follow from
+    the family's own functions, summed over all rows in one job.
+    """
 
     def __init__(self, family: Family, alpha: float = 0.0, max_iter: int = 100, tol: float = 1e-10):
         self.family, self.alpha, self.max_iter, self.tol, self.model = family, alpha, max_iter, tol, None
@@ -158,26 +177,52 @@ class GLM:
             check_columns(df, y, *features, *[c for c in (weights, offset) if c])
             self.shape, self.names = None, list(features)
             rows = _assembled(df, features).withColumn("_y", F.col(y).cast("double"))
-        args = {k: v for k, v in (("weightCol", weights), ("offsetCol", offset)) if v}
-        glr = GeneralizedLinearRegression(
-            family=self.family.spark_family, link=self.family.spark_link, featuresCol="_x", labelCol="_y", predictionCol="prediction",
-            maxIter=self.max_iter, tol=self.tol, regParam=self.alpha, **args,
-        )
-        self.model = glr.fit(rows)
+        self.offset = offset
+        one = lambda c, d: F.col(c).cast("double") if c else F.lit(d)
+        plain = self._arrays(rows).select("x", F.col("_y").cast("double").alias("y"), one(weights, 1.0).alias("w"), one(offset, 0.0).alias("o"))
+        if self.family.spark_family:
+            args = {k: v for k, v in (("weightCol", weights), ("offsetCol", offset)) if v}
+            glr = GeneralizedLinearRegression(
+                family=self.family.spark_family, link=self.family.spark_link, featuresCol="_x", labelCol="_y", predictionCol="prediction",
+                maxIter=self.max_iter, tol=self.tol, regParam=self.alpha, **args,
+            )
+            self.model = glr.fit(rows)
+            self.coef_ = np.array([self.model.intercept, *self.model.coefficients.toArray()])
+        else:
+            self.coef_ = self._scoring(plain)
+        found = _sums(plain, self.family, self.coef_)
+        p = len(self.coef_)
+        self.information_, self.n = found["info"], found["rows"]
+        self.deviance_ = found["deviance"]
+        self.dispersion_ = self.deviance_ / (self.n - p) if self.family.has_dispersion and self.n > p else 1.0
         return self
 
-    @property
-    def coef_(self) -> np.ndarray:
-        return np.array([self.model.intercept, *self.model.coefficients.toArray()])
+    def _arrays(self, rows: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        return rows.withColumn("x", F.concat(F.array(F.lit(1.0)), vector_to_array("_x")))
+
+    def _scoring(self, plain: DataFrame) -> np.ndarray:
+        mean = plain.agg(F.sum(F.col("w") * F.col("y")) / F.sum("w")).first()[0]
+        beta = np.zeros(len(self.names) + 1)
+        beta[0], before = self.family.start(float(mean)), np.inf
+        ridge = self.alpha * np.diag([0.0, *np.ones(len(beta) - 1)])
+        for _ in range(self.max_iter):
+            now = _sums(plain, self.family, beta)
+            penalised = now["deviance"] + float(beta @ ridge @ beta)
+            if has_converged(penalised, before, self.tol):
+                break
+            before = penalised
+            beta = beta + np.linalg.pinv(now["info"] + ridge) @ (now["slope"] - ridge @ beta)
+        return beta
 
     @property
-    def dispersion_(self) -> float:
-        return float(self.model.summary.dispersion)
+    def coef_covariance_matrix_(self) -> np.ndarray:
+        return self.dispersion_ * np.linalg.inv(self.information_)
 
     @property
     def coef_standard_error_(self) -> np.ndarray:
-        errors = self.model.summary.coefficientStandardErrors
-        return np.array([errors[-1], *errors[:-1]])
+        return np.sqrt(np.diag(self.coef_covariance_matrix_))
 
     @property
     def p_values_(self) -> np.ndarray:
@@ -186,18 +231,56 @@ class GLM:
 
         return 2 * norm_sf(np.abs(self.coef_ / self.coef_standard_error_))
 
-    def predict(self, df: DataFrame) -> DataFrame:
+    def predict(self, df: DataFrame, offset: str | None = None) -> DataFrame:
+        """``df`` with ``prediction``; the column ``offset`` (that of the fit, if ``df`` has it) is added to the linear predictor."""
         rows = self.shape.transform(df) if self.shape is not None else _assembled(df, self.names)
-        return self.model.transform(rows).drop("_x", "_y")
+        offset = offset or (self.offset if self.offset in df.columns else None)
+        beta, family = self.coef_, self.family
+
+        @F.pandas_udf("double")
+        def mean(x: pd.Series, o: pd.Series) -> pd.Series:
+            return pd.Series(family.inv_link(np.stack(x.to_numpy()) @ beta + o.to_numpy()) if len(x) else [], dtype="float64")
+
+        shift = F.col(offset).cast("double") if offset else F.lit(0.0)
+        return self._arrays(rows).withColumn("prediction", mean("x", shift)).drop("_x", "_y", "x")
 
     def score(self) -> float:
         """Deviance of the fit."""
-        return float(self.model.summary.deviance)
+        return self.deviance_
 
     def summary(self) -> pd.DataFrame:
         return pd.DataFrame({"name": ["intercept", *self.names], "estimate": self.coef_, "std_error": self.coef_standard_error_, "p_value": self.p_values_})
 
 
+def _sums(plain: DataFrame, family: Family, beta: np.ndarray) -> dict:
+    """Information, slope, deviance and number of the rows ``(x, y, w, o)``, by the family's functions."""
+    p = len(beta)
+
+    def run(batches):
+        total = np.zeros(p * p + p + 2)
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, y, w, o = np.stack(batch["x"].to_numpy()), *(batch[c].to_numpy(dtype=float) for c in "ywo")
+            nu = x @ beta + o
+            mu = _bounded(family, family.inv_link(nu))
+            slope, spread = family.d_inv_link(nu, mu), np.maximum(family.variance(mu), 1e-12)
+            info = (x * (w * slope**2 / spread)[:, None]).T @ x
+            # a deviance is a sum over rows: rows of one weight are taken together
+            deviance = sum(v * family.deviance(y[w == v], mu[w == v]) for v in np.unique(w))
+            total += np.concatenate([info.ravel(), x.T @ (w * (y - mu) * slope / spread), [deviance, len(y)]])
+        yield pd.DataFrame({"at": np.arange(len(total)), "value": total})
+
+    found = plain.mapInPandas(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas().sort_values("at")
+    total = found["value"].to_numpy() if len(found) else np.zeros(p * p + p + 2)
+    return {"info": total[: p * p].reshape(p, p), "slope": total[p * p : -2], "deviance": float(total[-2]), "rows": int(total[-1])}
+
+
+def _bounded(family: Family, mu):
+    """Poisson and gamma means stay above 0."""
+    return np.maximum(mu, 1e-12) if family.spark_family == "poisson" else mu
+
+
 def elastic_net(df: DataFrame, y: str, features: list[str], lam: float, alpha: float, weights: str | None = None, max_iter: int = 200, tol: float = 1e-8):
     """A fitted linear model with an unpenalised intercept; ``alpha`` 1 is the lasso."""
     from pyspark.ml.regression import LinearRegression
@@ -208,7 +291,9 @@ def elastic_net(df: DataFrame, y: str, features: list[str], lam: float, alpha: f
 
 
 def glmnet_path(df: DataFrame, y: str, features: list[str], lambdas: list[float], alpha: float, family: str = "gaussian") -> pd.DataFrame:
-    """Coefficients along a path of penalties: a row for each."""
+    """Coefficients along a path of penalties: a row for each. ``family`` is gaussian or binomial (also called bernoulli)."""
+    if family not in ("gaussian", "binomial", "bernoulli"):
+        raise ValueError(f"no path for the family {family!r}")
     rows = []
     for lam in sorted(lambdas, reverse=True):
         if family == "gaussian":

@@ -13,6 +13,7 @@ from pyspark.sql import Window
 from quern.functions import special
 from quern.functions.stats import bh_adjust
 from quern.functions.zeroagg import row_stats
+from quern.plans.scratch import materialize
 
 
 def unlog(expr: DataFrame) -> DataFrame:
@@ -122,17 +123,28 @@ def window_counts(points: DataFrame, half: float = 0.05, step: float = 0.005) ->
     return points.select(first.alias("a"), until.alias("b")).where("a <= b").select(F.explode(F.sequence("a", "b")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
 
 
-def chen2016(expr: DataFrame, n_cells: int, fdr: float = 0.1, ngenes: int | None = 1000, logged: bool = True, max_genes: int = 200_000) -> DataFrame:
-    """Genes far above the CV-mean curve. The curve and the null are fitted on the driver to per-gene summaries."""
+def _parabola(points: DataFrame):
+    """The least-squares polynomial of degree 2 (less for fewer different x) through all ``points(x, y)``, from sums of powers."""
+    base = points.agg(F.avg("x"), F.stddev_pop("x"), F.count_distinct("x")).first()
+    centre, scale, degree = base[0], base[1] or 1.0, min(2, max(0, base[2] - 1))
+    z = (F.col("x") - centre) / scale
+    sums = points.agg(*[F.sum(F.pow(z, F.lit(k))) for k in range(2 * degree + 1)], *[F.sum(F.pow(z, F.lit(k)) * F.col("y")) for k in range(degree + 1)]).first()
+    left = np.array([[sums[i + j] for j in range(degree + 1)] for i in range(degree + 1)], dtype=float)
+    coef = np.linalg.lstsq(left, np.array(sums[2 * degree + 1 :], dtype=float), rcond=None)[0]
+    return lambda x: np.polynomial.polynomial.polyval((x - centre) / scale, coef)
+
+
+def chen2016(expr: DataFrame, n_cells: int, fdr: float = 0.1, ngenes: int | None = 1000, logged: bool = True, bins: int = 4000) -> DataFrame:
+    """Genes far above the CV-mean curve. The curve comes from sums over all genes, the null from a histogram of all distances."""
     points = log_cv(row_stats(unlog(expr) if logged else expr, "gene", n_cells))
+    points = materialize(points, "cv")
     total = points.count()
     if total < 3:
         return points.sparkSession.createDataFrame([], points.schema.add("distance", "double").add("p_val", "double").add("fdr", "double"))
     low = points.agg(F.min("x")).first()[0]
     usable = window_counts(points).where(F.col("n") > 0.005 * total).agg(F.min("g"), F.max("g")).first()
     near = points.where(F.col("x").between(low + (usable[0] or 0) * 0.005 - 0.05, low + (usable[1] or 0) * 0.005 + 0.05))
-    sample = near.orderBy(F.xxhash64("gene"), "gene").limit(max_genes).toPandas()
-    curve = np.polynomial.Polynomial.fit(sample["x"], sample["y"], min(2, max(1, sample["x"].nunique() - 1)))
+    curve = _parabola(near)
 
     def signed(x, y):
         steps = np.arange(-0.2, 0.2005, 0.001)
@@ -143,20 +155,28 @@ def chen2016(expr: DataFrame, n_cells: int, fdr: float = 0.1, ngenes: int | None
             out[lo : lo + 4096] = gap.min(axis=1)
         return np.where(y >= curve(x), out, -out)
 
-    d = signed(sample["x"].to_numpy(), sample["y"].to_numpy())
-    grid = np.linspace(*np.quantile(d, [0.01, 0.99]), 401)
-    some = d[:5000]
-    width = 1.06 * some.std() * len(some) ** -0.2 or 1.0
-    mode = grid[np.exp(-0.5 * ((grid[:, None] - some[None, :]) / width) ** 2).sum(axis=1).argmax()]
-    left = d[d <= mode] - mode
-    spread = float(np.sqrt((left**2).mean())) or 1e-12
-
-    @F.pandas_udf("distance double, p_val double")
-    def judged(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        dist = signed(x.to_numpy(dtype=float), y.to_numpy(dtype=float))
-        return pd.DataFrame({"distance": dist, "p_val": special.norm_sf((dist - mode) / spread)})
-
-    tested = points.withColumn("j", judged("x", "y")).select("gene", "x", "y", "j.distance", "j.p_val")
+    @F.pandas_udf("double")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(signed(x.to_numpy(dtype=float), y.to_numpy(dtype=float)))
+
+    far = materialize(points.withColumn("distance", distance("x", "y")), "cv-distance")
+    d = far.join(near.select("gene"), "gene", "left_semi")
+    ends = d.agg(F.min("distance"), F.max("distance"), F.stddev_pop("distance"), F.count(F.lit(1)), F.percentile_approx("distance", [0.01, 0.99], 10_000)).first()
+    first, step = ends[0], (ends[1] - ends[0]) / bins or 1.0
+    at = F.least(F.floor((F.col("distance") - first) / step), F.lit(bins - 1))
+    held = d.groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).toPandas()  # ``bins`` rows at most
+    middle, weight = first + (held["bin"].to_numpy() + 0.5) * step, held["n"].to_numpy()
+    grid = np.linspace(*ends[4], 401)
+    width = 1.06 * ends[2] * ends[3] ** -0.2 or 1.0
+    mode = float(grid[(weight * np.exp(-0.5 * ((grid[:, None] - middle[None, :]) / width) ** 2)).sum(axis=1).argmax()])
+    left = F.when(F.col("distance") <= mode, F.col("distance") - mode)
+    spread = math.sqrt(d.agg(F.avg(left * left)).first()[0] or 0.0) or 1e-12
+
+    @F.pandas_udf("double")
+    def tail(dist: pd.Series) -> pd.Series:
+        return pd.Series(special.norm_sf((dist.to_numpy(dtype=float) - mode) / spread))
+
+    tested = far.select("gene", "x", "y", "distance", tail("distance").alias("p_val"))
     out = bh_adjust(tested).where(F.col("fdr") < fdr).orderBy("p_val", F.desc("distance"), "gene")
     return out.limit(ngenes) if ngenes else out
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quern.functions.stats import geometric_mean, theta_ml
+from quern.plans.scratch import materialize
 
 
 def standard(counts: DataFrame, scaling_factor: float = 10_000.0) -> DataFrame:
@@ -31,17 +32,39 @@ def clr(expr: DataFrame, n: int, axis: str = "genes", value: str = "count") -> D
     return expr.join(mid, by).select("gene", "cell", F.log1p(F.col(value) / F.col("_g")).alias("value"))
 
 
-def fqn(expr: DataFrame, n_genes: int, n_cells: int, value: str = "count") -> DataFrame:
-    """Full quantile normalisation; ties by gene. Zeros hold a cell's lowest ranks and are not made rows.
+def fqn(expr: DataFrame, n_genes: int, n_cells: int, value: str = "count", genes: DataFrame | None = None) -> DataFrame:
+    """Full quantile normalisation; ties by gene. Zeros hold a cell's lowest ranks.
 
-    Entries that were zero get the mean of their rank's values, which is above 0 only where some cell has a value at
-    that rank; see :func:`fqn_dense` for those.
+    A zero is made a row only if its rank's mean is above 0, i.e. if some cell has a value at that rank: as many
+    as the fullest cell has values more. ``genes`` lists all genes, those without a value too (else those of ``expr``).
     """
     order = Window.partitionBy("cell").orderBy(value, "gene")
     here = F.count(F.lit(1)).over(Window.partitionBy("cell"))
-    ranked = expr.where(F.col(value) != 0).withColumn("rnk", F.row_number().over(order) + n_genes - here)
-    means = ranked.groupBy("rnk").agg((F.sum(value) / n_cells).alias("value"))
-    return ranked.join(means, "rnk").select("gene", "cell", "value")
+    values = expr.where(F.col(value) != 0)
+    ranked = values.withColumn("rnk", F.row_number().over(order) + n_genes - here)
+    means = ranked.groupBy("rnk").agg((F.sum(value) / n_cells).alias("normal"))
+    full = ranked.join(means, "rnk").select("gene", "cell", F.col("normal").alias("value"))
+    # place of each gene among all; of the zeros of a cell, the z-th stands after the values before it
+    named = (expr if genes is None else genes).select("gene").distinct()
+    numbered = materialize(named.select("gene", (F.row_number().over(Window.orderBy("gene")) - 1).alias("at")), "genes")
+
+    @F.pandas_udf("array<struct<at:int,rnk:int>>")
+    def zeros(held: pd.Series, low: pd.Series) -> pd.Series:
+        out = []
+        for places, first in zip(held, low):
+            places = np.sort(np.asarray(places, dtype=np.int64))
+            z = np.arange(first, n_genes - len(places))
+            at = z + np.searchsorted(places - np.arange(len(places)), z, side="right")
+            out.append([{"at": int(a), "rnk": int(r) + 1} for a, r in zip(at, z)])
+        return pd.Series(out)
+
+    held = values.join(numbered, "gene").groupBy("cell").agg(F.collect_list("at").alias("held"), F.count(F.lit(1)).alias("n"))
+    none = expr.select("cell").distinct().join(values.select("cell").distinct(), "cell", "left_anti").select("cell", F.array().cast("array<int>").alias("held"), F.lit(0).cast("long").alias("n"))
+    held = held.unionByName(none)
+    most = held.agg(F.max("n").alias("most"))  # one number
+    rows = held.join(F.broadcast(most)).select("cell", F.explode(zeros("held", n_genes - F.col("most"))).alias("z"))
+    rows = rows.select("cell", "z.at", "z.rnk").join(numbered, "at").join(means, "rnk").select("gene", "cell", F.col("normal").alias("value"))
+    return full.unionByName(rows)
 
 
 def fqn_dense(dense: DataFrame, value: str = "value") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.stats import MAD_SCALE
+from quern.plans.scratch import materialize
 
 FEATURES = ("log_reads", "detected_share", "rrna_share", "mito_share", "ercc_share")
 
@@ -125,22 +126,49 @@ def fast_mcd(x: np.ndarray, seed: int = 42, starts: int = 100, keep: int = 10) -
     return best[1]
 
 
-def find_low_quality(features: DataFrame, sd_thres: float = 3.0, seed: int = 42, max_fit: int = 20_000) -> DataFrame:
+def _concentrated(features: DataFrame, names: list[str], mean: np.ndarray, cov: np.ndarray, steps: int = 30):
+    """Concentration steps over all cells: location and scatter of the half with the smallest distances, until the determinant stays."""
+    n, d = features.count(), len(names)
+    share, low = min(1.0, ((n + d + 1) // 2) / n), np.inf
+    for _ in range(steps):
+        rows = features.withColumn("_d", _distance(names, mean, cov))
+        bound = rows.agg(F.percentile_approx("_d", F.lit(share), F.lit(1_000_000))).first()[0]
+        product = [F.sum(F.col(names[i]) * F.col(names[j])) for i in range(d) for j in range(i, d)]
+        half = rows.where(F.col("_d") <= bound).select(*[(F.col(c) - float(m)).alias(c) for c, m in zip(names, mean)])
+        found = half.agg(F.count(F.lit(1)), *[F.sum(c) for c in names], *product).first()
+        k, shift = found[0], np.array(found[1 : d + 1]) / found[0]
+        square = np.zeros((d, d))
+        square[np.triu_indices(d)] = found[d + 1 :]
+        square = square + np.triu(square, 1).T
+        cov = (square - k * np.outer(shift, shift)) / max(1, k - 1) + 1e-12 * np.eye(d)
+        mean = mean + shift
+        now = np.linalg.slogdet(cov)[1]
+        if now >= low - 1e-9:
+            break
+        low = now
+    return mean, cov
+
+
+def _distance(names: list[str], mean: np.ndarray, cov: np.ndarray):
+    inverse = np.linalg.pinv(cov)
+    apart = [F.col(n) - float(m) for n, m in zip(names, mean)]
+    return sum((apart[i] * apart[j] * float(inverse[i, j]) for i in range(len(names)) for j in range(len(names))), F.lit(0.0))
+
+
+def find_low_quality(features: DataFrame, sd_thres: float = 3.0, seed: int = 42, max_start: int = 20_000) -> DataFrame:
     """``(cell, distance, status)``: robust squared distances; outliers lie over ``sd_thres`` deviations from their mean.
 
-    Location and scatter are fitted on the driver to at most ``max_fit`` cells (those with the smallest hashes
-    of their names); distances of all cells are a column expression.
+    Starting values of location and scatter come from at most ``max_start`` cells (those with the smallest hashes
+    of their names); the concentration steps that settle them are aggregates over all cells.
     """
     names = [c for c in features.columns if c != "cell"]
-    some = features.orderBy(F.xxhash64("cell"), "cell").limit(max_fit).toPandas().sort_values("cell")
+    features = materialize(features, "quality")
+    some = features.orderBy(F.xxhash64("cell"), "cell").limit(max_start).toPandas().sort_values("cell")
     x = some[names].to_numpy(dtype=float)
     varied = x.std(axis=0) > 0
     names, x = [n for n, v in zip(names, varied) if v], x[:, varied]
-    mean, cov = fast_mcd(x, seed)
-    inverse = np.linalg.pinv(cov)
-    apart = [F.col(n) - float(m) for n, m in zip(names, mean)]
-    square = sum((apart[i] * apart[j] * float(inverse[i, j]) for i in range(len(names)) for j in range(len(names))), F.lit(0.0))
-    out = features.select("cell", square.alias("distance"))
+    mean, cov = _concentrated(features, names, *fast_mcd(x, seed))
+    out = features.select("cell", _distance(names, mean, cov).alias("distance"))
     spread = out.agg(F.avg("distance").alias("m"), F.stddev_pop("distance").alias("s"))
     far = F.abs(F.col("distance") - F.col("m")) > sd_thres * F.col("s")
     return out.join(F.broadcast(spread)).select("cell", "distance", F.when(far, "EXCLUDE").otherwise("OK").alias("status"))

@@ -1,7 +1,8 @@
 """Tables written to the folder all executors share, to cut lineage in loops.
 
-The folder is ``spark.checkpoint.dir``. Only a session without that setting
-(tests, a laptop) gets a temporary folder of its own. A written table survives
+The folder is ``spark.checkpoint.dir``. Only a local session without that setting
+(tests, a laptop) gets a temporary folder of its own; on a cluster its absence is an error, as
+executors don't share the driver's disk. A written table survives
 the loss of any executor, and reads of it prune columns.
 """
 
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="quern-")

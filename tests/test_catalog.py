@@ -37,7 +37,7 @@ def test_equals_duckdb(spark, sf_dir, duck, name):
     order = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in order) for r in df.collect()), key=repr)
     rows = sorted((tuple(plain(r[want.columns.index(c)]) for c in order) for r in want.fetchall()), key=repr)
-    assert len(got) == len(rows)
+    assert 0 < len(got) == len(rows)
     for a, b in zip(got, rows):
         assert all(x == y or isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 1e-5 * max(1, abs(x)) for x, y in zip(a, b)), (a, b)
 

@@ -1,5 +1,7 @@
 """Numerical kernels by their defining properties."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -169,6 +171,83 @@ def test_trajectory_of_a_fork(spark):
     assert all(len(r.path) == 3 and r.path[1] == "b" for r in lineages.collect())
 
 
+def counts_by_root():
+    class CountsByRoot(glm.Family):
+        """A family of a user's own: counts whose mean is the squared predictor."""
+
+        def start(self, mean):
+            return mean**0.5
+
+        def inv_link(self, nu):
+            return np.maximum(nu, 1e-6) ** 2
+
+        def d_inv_link(self, nu, mu):
+            return 2 * np.maximum(nu, 1e-6)
+
+        def variance(self, mu):
+            return mu
+
+        def deviance(self, y, mu):
+            return glm.Poisson().deviance(y, mu)
+
+    return CountsByRoot()  # a local class travels to the workers
+
+
+@pytest.mark.parametrize("family", [glm.Gaussian(), glm.Bernoulli(), glm.QuasiPoisson(), glm.Poisson(), glm.Gamma(), glm.Exponential(), counts_by_root()], ids=lambda f: type(f).__name__)
+def test_glm_inference_equals_arrays(spark, family):
+    rnd = np.random.default_rng(3)
+    n = 500
+    x, z, w = rnd.random(n), rnd.random(n), rnd.integers(1, 4, n).astype(float)
+    mu = family.inv_link(1.0 + 0.8 * x - 0.3 * z)
+    y = rnd.binomial(1, mu) if isinstance(family, glm.Bernoulli) else mu + rnd.normal(0, 0.3, n) if type(family) is glm.Gaussian else rnd.poisson(mu) + 0.5 * (family.spark_link == "identity")
+    sdf = spark.createDataFrame(pd.DataFrame({"x": x, "z": z, "w": w, "y": y.astype(float)}))
+    fitted = glm.GLM(family).fit(sdf, "y", ["x", "z"], weights="w")
+    design, beta = np.column_stack([np.ones(n), x, z]), fitted.coef_
+    nu = design @ beta
+    mu = family.inv_link(nu)
+    slope, spread = family.d_inv_link(nu, mu), family.variance(mu)
+    if not isinstance(family, (glm.Gamma, glm.Gaussian)):
+        assert np.abs(design.T @ (w * (y - mu) * slope / spread)).max() < 1e-3  # the score vanishes at the fit
+    info = (design * (w * slope**2 / spread)[:, None]).T @ design
+    deviance = sum(family.deviance(y[i : i + 1], mu[i : i + 1]) * w[i] for i in range(n))
+    phi = deviance / (n - 3) if family.has_dispersion else 1.0
+    assert np.isclose(fitted.score(), deviance) and np.isclose(fitted.dispersion_, phi)
+    errors = np.sqrt(np.diag(phi * np.linalg.inv(info)))
+    assert np.allclose(fitted.coef_standard_error_, errors) and np.allclose(fitted.information_, info)
+    assert np.allclose(fitted.p_values_, [math.erfc(abs(b / e) / math.sqrt(2)) for b, e in zip(beta, errors)])
+    got = fitted.predict(sdf.withColumn("o", F.lit(0.5)), offset="o").select("prediction").toPandas()["prediction"]
+    assert np.allclose(np.sort(got), np.sort(family.inv_link(nu + 0.5)))
+
+
+def test_sparse_quantile_normalisation_equals_the_dense_one(spark):
+    rnd = np.random.default_rng(8)
+    full = rnd.integers(1, 50, (12, 7)) * (rnd.random((12, 7)) < np.linspace(0.1, 0.95, 7))
+    full[:, 0] = 0
+    rows = [(f"g{i:02d}", f"c{j}", int(full[i, j])) for i in range(12) for j in range(7)]
+    dense = spark.createDataFrame(rows, "gene string, cell string, value long")
+    want = {(r.gene, r.cell): r.value for r in norm.fqn_dense(dense).collect() if r.value}
+    got = {(r.gene, r.cell): r.value for r in norm.fqn(dense, 12, 7, "value").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_low_quality_fit_sees_all_cells(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(f"c{i}", *map(float, rnd.normal([5, 0.5], [1, 0.1]) + (8 if i >= 290 else 0))) for i in range(300)]
+    features = spark.createDataFrame(rows, "cell string, a double, b double")
+    part = qc.find_low_quality(features, max_start=40).collect()
+    assert {r.cell for r in part if r.status == "EXCLUDE"} == {f"c{i}" for i in range(290, 300)}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quern.plans import scratch
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="none")))
+
+
 def test_glm(spark):
     rnd = np.random.default_rng(7)
     x = rnd.random(400)
@@ -194,6 +273,8 @@ def test_glm(spark):
         glm.GLM(glm.Gaussian()).fit(sdf, "y", ["none"])
     with pytest.raises(ValueError):
         glm.irls(design[:, ::-1], df["y"].to_numpy(), glm.Gaussian())
+    with pytest.raises(ValueError):
+        glm.glmnet_path(sdf, "y", ["x"], [1.0], 1.0, family="poisson")
     got = sdf.select(glm.soft_threshold(F.lit(-3.0), F.lit(1.0)).alias("a"), glm.soft_threshold(F.lit(0.5), F.lit(1.0)).alias("b")).first()
     assert (got.a, got.b) == (-2.0, 0.0)
 
