@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, bucket_limit: int = 64) ->
     )
 
 
-def one_of_each(docs: DataFrame, width: int = 3, bucket_limit: int = 64, radius: int = WIDE) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 3, bucket_limit: int = 256, radius: int = WIDE) -> DataFrame:
     """One row of ``docs`` for each component of fingerprints at most ``radius`` bits apart, columns as they are, whatever their names.
 
     The row kept is the first by (null doc_id last, doc_id, fingerprint, hash of the text); rows equal in all of these are one,
