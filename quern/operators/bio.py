@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from quern.functions import special
 from quern.functions.stats import bh_adjust
 from quern.functions.zeroagg import group_median
+from quern.plans.scratch import materialize
 
 
 def median_expression(expr: DataFrame, clusters: DataFrame, min_size: int = 10) -> DataFrame:
@@ -103,7 +104,7 @@ def train_cell_cycle(expr: DataFrame, phases: DataFrame, genes: list, iterations
     from pyspark.ml.feature import IndexToString, StringIndexer
 
     index = StringIndexer(inputCol="phase", outputCol="label", stringOrderType="alphabetAsc")
-    rows = _features(expr, genes).join(phases, "cell")
+    rows = materialize(_features(expr, genes).join(phases, "cell"), "phases")  # read once an iteration
     names = index.fit(rows).labels
     model = Pipeline(
         stages=[index, OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=reg)), IndexToString(inputCol="prediction", outputCol="cell_cycle", labels=names)]
