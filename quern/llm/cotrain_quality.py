@@ -302,9 +302,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pseudo
     numbers = [*[F.col("content")[i] for i in range(CONTENT)], *[F.col("record")[i] for i in range(3)]]
     quantiles = every.agg(*[F.percentile_approx(x, CUTS, 10_000) for x in numbers]).first()
     edges = [list(q or [0.0]) for q in quantiles]
-    pool = every.join(known.select("doc_id"), "doc_id", "left_anti")
-    model = train(rows, (edges[:CONTENT], edges[CONTENT:]), _surest(pool, max_pseudo), **options)
+    # every round reads it twice, so it is joined and written once
+    pool = materialize(every.join(known.select("doc_id"), "doc_id", "left_anti"), "quality-pool")
     release(every)
+    model = train(rows, (edges[:CONTENT], edges[CONTENT:]), _surest(pool, max_pseudo), **options)
+    release(pool)
     return model
 
 
