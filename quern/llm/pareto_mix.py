@@ -169,7 +169,8 @@ def _with_goal(rows: DataFrame, name: str, goal: DataFrame, share: str) -> DataF
     """``rows`` with their (source, stratum, measure) row of ``goal`` as struct ``share``, and their ``rank`` in struct ``name``."""
     goal = goal.select(F.struct(*goal.columns).alias(share))
     x, g = F.col(name), F.col(share)
-    on = x["source"].eqNullSafe(g["source"]) & (x["stratum"] == g["stratum"]) & (x["measure"] == g["measure"])
+    # null-safe, though neither side has nulls: plain equality adds a filter for nulls that counts each text's words again
+    on = x["source"].eqNullSafe(g["source"]) & x["stratum"].eqNullSafe(g["stratum"]) & x["measure"].eqNullSafe(g["measure"])
     rows = rows.join(F.broadcast(goal) if goal.count() <= BROADCAST_ROWS else goal, on)
     ahead, behind = x["u"] * (1 - g["p"]), (1 - x["u"]) * g["p"]
     return rows.withColumn(name, x.withField("rank", ahead / (ahead + behind)))
