@@ -6,14 +6,16 @@ at most 2 bits in the next one, so they share a key made of the exact segment
 and one of the next segment's Golay indices (6 at most). Keys join distinct
 fingerprints only, and every candidate is verified.
 
-Up to ``WIDE`` = 5 bits apart, two segments differ by at most 1 and 2 bits (the other way round 2 and 3 would
-be 7 in all three), so they share a Golay index in both: 3 pairs of segments with up to 6 x 6 keys. The pipeline's stage uses this.
+Up to ``WIDE`` = 5 bits apart, two of seven segments of 10 and 9 bits agree exactly, and among the others two
+taken together differ by at most 2 bits; a key is made of two exact segments and a Golay index of two more, for each of the
+21 pairs (126 keys at most, each of 30 or 31 bits). The pipeline's stage uses this.
 
 Within 2 bits, a bucket above ``bucket_limit`` is not paired: its fingerprints are linked
 through their one-bit neighbours instead. Two fingerprints are within 2 bits
 exactly if they share such a neighbour, and all that share one are a clique,
-so a star per neighbour (65 rows a fingerprint) is exact and linear. For wider radii such a bucket is
-compared in pairs of blocks of ``BLOCK`` fingerprints spread over tasks, each giving a spanning forest of its links only.
+so a star per neighbour (65 rows a fingerprint) is exact and linear. For wider radii buckets give spanning forests of
+their verified links instead of all pairs, so links grow with the rows and not with the square of a group: buckets up to the
+limit are read many in a task, larger ones compared in pairs of blocks of ``BLOCK`` fingerprints spread over tasks.
 
 Defined results: null text counts as empty; a text without words has
 fingerprint zero and links like any other; repeated rows are rows of their own
@@ -40,6 +42,20 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 WIDE, BLOCK = 5, 2048
+PARTS = ((0, 10), (10, 9), (19, 9), (28, 9), (37, 9), (46, 9), (55, 9))
+
+
+def families() -> list[tuple[int, int, int, int]]:
+    """``(i, j, k, l)``: exact parts i, j with the decoded parts k, l, the two that follow the later gap of the ring.
+
+    Any 5 errors over 7 parts leave some family with none in i, j and at most 2 in k, l.
+    """
+    out = []
+    for i in range(7):
+        for d in (1, 2, 3):
+            rest = [(i + d + s) % 7 for s in range(1, 7) if (i + d + s) % 7 != i]
+            out.append((i, (i + d) % 7, *rest[:2]))
+    return out
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -74,23 +90,28 @@ def fingerprints(docs: DataFrame, width: int = 3, keep: tuple[str, ...] = ()) ->
 
 
 def golay_keys(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """``(key, fp)``: for each fingerprint of ``fps(fp)`` 18 keys at most, or 108 for a radius above 2."""
+    """``(key, fp)``: for each fingerprint of ``fps(fp)`` 18 keys at most, or 126 for a radius above 2."""
+    if radius <= 2:
+        cut, plan = SEGMENTS, [((s,), ((s + 1) % 3,)) for s in range(3)]
+    else:
+        cut, plan = PARTS, [((i, j), (k, l)) for i, j, k, l in families()]
+
+    def joined(part, at):
+        out = part[at[0]]
+        for x in at[1:]:
+            out = out << cut[x][1] | part[x]
+        return out
 
     def run(batches):
         for batch in batches:
             for lo in range(0, len(batch), 8192):
                 fp = batch["fp"].to_numpy(dtype=np.int64)[lo : lo + 8192].view(np.uint64)
-                part = [((fp >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
-                near = [np.sort(golay.index_sets(x), axis=1).astype(np.int64) for x in part]
-                fresh = [np.concatenate([np.ones((len(fp), 1), dtype=bool), x[:, 1:] != x[:, :-1]], axis=1) for x in near]
-                for s in range(3):
-                    t = (s + 1) % 3
-                    if radius <= 2:
-                        row, col = np.nonzero(fresh[t])
-                        key = (np.int64(s) << 34) | (part[s][row] << 12) | near[t][row, col]
-                    else:
-                        row, one, two = np.nonzero(fresh[s][:, :, None] & fresh[t][:, None, :])
-                        key = (np.int64(s) << 34) | (near[s][row, one] << 12) | near[t][row, two]
+                part = [((fp >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in cut]
+                for family, (exact, decoded) in enumerate(plan):
+                    near = np.sort(golay.index_sets(joined(part, decoded)), axis=1).astype(np.int64)
+                    fresh = np.concatenate([np.ones((len(fp), 1), dtype=bool), near[:, 1:] != near[:, :-1]], axis=1)
+                    row, col = np.nonzero(fresh)
+                    key = np.int64(family << 34) | (joined(part, exact)[row] << 12) | near[row, col]
                     yield pd.DataFrame({"key": key, "fp": fp.view(np.int64)[row]})
 
     return fps.select("fp").mapInPandas(run, "key long, fp long")
@@ -117,6 +138,51 @@ def forest(fp: np.ndarray, other: np.ndarray, radius: int) -> list[tuple[int, in
     return out
 
 
+def spanning(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links inside the buckets of rows sorted by ``key``."""
+    names, at = np.unique(fp, return_inverse=True)
+    root, us, vs = np.arange(len(names)), [], []
+    here, gap = np.arange(len(key)), 1
+    while len(here):
+        here = here[here + gap < len(key)]
+        here = here[key[here] == key[here + gap]]
+        near = here[np.bitwise_count((fp[here] ^ fp[here + gap]).view(np.uint64)) <= radius]
+        a, b = at[near], at[near + gap]
+        fresh = root[a] != root[b]
+        for x, y in zip(a[fresh].tolist(), b[fresh].tolist()):
+            p, q = x, y
+            while root[p] != p:
+                p = root[p]
+            while root[q] != q:
+                q = root[q]
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                us.append(x)
+                vs.append(y)
+        while (root[root] != root).any():
+            root = root[root]
+        gap += 1
+    return names[us], names[vs]
+
+
+def _forests(small: DataFrame, radius: int) -> DataFrame:
+    """Links ``(u, v)`` that span each bucket of ``small(key, fp)``; a bucket that a batch cuts waits for its rest."""
+
+    def run(batches):
+        key, fp = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        for batch in batches:
+            key = np.concatenate([key, batch["key"].to_numpy(dtype=np.int64)])
+            fp = np.concatenate([fp, batch["fp"].to_numpy(dtype=np.int64)])
+            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            u, v = spanning(key[:whole], fp[:whole], radius)
+            key, fp = key[whole:], fp[whole:]
+            yield pd.DataFrame({"u": u, "v": v})
+        u, v = spanning(key, fp, radius)
+        yield pd.DataFrame({"u": u, "v": v})
+
+    return small.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInPandas(run, "u long, v long")
+
+
 def _blocks(wide: DataFrame, radius: int) -> DataFrame:
     """Links ``(u, v)`` that span each bucket of ``wide(key, fp, n)``: pairs of blocks are tasks' work."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -134,7 +200,7 @@ def _blocks(wide: DataFrame, radius: int) -> DataFrame:
 def links(fps: DataFrame, bucket_limit: int = 64, radius: int = 2) -> DataFrame:
     """Links ``(u, v)`` of distinct fingerprints at most ``radius`` bits apart; their closure is that of all links.
 
-    Small buckets give every verified pair; large ones a star for each shared one-bit neighbour, or spanning forests.
+    Up to 2 bits small buckets give every verified pair, large ones a star for each shared one-bit neighbour; beyond, all give spanning forests.
     """
     if radius > WIDE:
         raise ValueError(f"no keys for more than {WIDE} bits")
@@ -142,16 +208,15 @@ def links(fps: DataFrame, bucket_limit: int = 64, radius: int = 2) -> DataFrame:
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(keys.join(sizes, "key"), "golay-shared")
     release(keys)
-    small = shared.where(F.col("n") <= bucket_limit)
+    small, wide = shared.where(F.col("n") <= bucket_limit), shared.where(F.col("n") > bucket_limit)
+    if radius > 2:
+        return _forests(small, radius).unionAll(_blocks(wide, radius))
     pairs = (
         small.select("key", F.col("fp").alias("u"))
         .join(small.select("key", F.col("fp").alias("v")), "key")
         .where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius))
         .select("u", "v")
     )
-    wide = shared.where(F.col("n") > bucket_limit)
-    if radius > 2:
-        return pairs.unionAll(_blocks(wide, radius))
     wide = wide.select("fp").distinct()
     flipped = wide.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i")).select(
         "fp", F.expr("CASE WHEN i = 64 THEN fp ELSE fp ^ shiftleft(1L, i) END").alias("near")

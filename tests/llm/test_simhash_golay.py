@@ -48,6 +48,26 @@ def test_golay_code_is_perfect():
         assert x & y and len(x) in (1, 6)
 
 
+def test_every_pattern_of_five_errors_has_a_family():
+    from itertools import combinations_with_replacement
+
+    for size in range(6):
+        for at in combinations_with_replacement(range(7), size):
+            e = [at.count(i) for i in range(7)]
+            assert any(e[i] == e[j] == 0 and e[k] + e[x] <= 2 for i, j, k, x in g.families())
+
+
+def test_spanning_links_grow_with_the_rows_of_a_bucket():
+    import numpy as np
+
+    fp = np.array([sum(1 << p for p in range(64) if n >> p % 8 & 1 and p < 8) for n in range(256)], dtype=np.int64)
+    key = np.repeat(np.arange(4), 64)
+    u, v = g.spanning(key, fp, 5)
+    assert len(u) == len(v) == 4 * 63
+    assert all(int(a ^ b).bit_count() <= 5 for a, b in zip(u, v))
+    assert len(g.spanning(key[:0], fp[:0], 5)[0]) == 0
+
+
 @pytest.mark.parametrize("radius", [2, 5])
 def test_links_find_all_components(spark, radius, monkeypatch):
     monkeypatch.setattr(g, "BLOCK", 100)
