@@ -145,6 +145,23 @@ def weighted_mean(x: str, w: str):
     return F.sum(F.col(w) * F.col(x)) / F.sum(w)
 
 
+def weighted_dot(x: str, y: str, w: str):
+    """Sum of w x y, as an aggregate; of a column with itself it is that column's weighted square."""
+    return F.sum(F.col(w) * F.col(x) * F.col(y))
+
+
+def check_lengths(y, **others) -> None:
+    """Arrays as long as ``y``: a matrix's rows, an offset, weights."""
+    for name, x in others.items():
+        if x is not None and len(x) != len(y):
+            raise ValueError(f"{name} has {len(x)} rows, y has {len(y)}")
+
+
+def check_intercept(x) -> None:
+    if not np.all(np.asarray(x)[:, 0] == 1.0):
+        raise ValueError("the first column is no intercept")
+
+
 def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quern.functions.linalg import nnls, nonnegative_ridge
 from quern.functions.special import digamma, gamma_pdf, norm_pdf
+from quern.operators import graph, hvg, reduce
+from quern.plans.scratch import materialize
 
 OFFSET = 1.01
 FITS = 500
@@ -66,20 +68,41 @@ def log_cpm(counts: DataFrame) -> DataFrame:
     return counts.join(depth, "cell").select("gene", "cell", F.log10(F.col("count") * 1e6 / F.col("depth") + OFFSET).alias("value"), "depth")
 
 
+def subpopulations(counts: DataFrame, ngenes: int = 1000, ncomp: int = 75, k: int = 10, prune: float = 0.067, resolution: float = 0.5) -> DataFrame:
+    """``(cell, cluster)``: Leiden communities of cells on the components of the most variable genes.
+
+    Genes are chosen on log10(counts per million + 1.01) less its value at zero, which leaves absent entries at 0 and
+    drops out of the scaled components. Cells without any chosen gene take part as zero vectors.
+    """
+    logs = materialize(log_cpm(counts).select("gene", "cell", (F.col("value") - math.log10(OFFSET)).alias("value")), "logs")
+    cells = logs.select("cell").distinct()
+    n = cells.count()
+    if n < 2:
+        return cells.select("cell", F.lit(0).alias("cluster"))
+    genes = [r["gene"] for r in hvg.find_hvg(logs, n, "seurat", ngenes).orderBy("rank").collect()]  # ngenes names
+    zero = F.array_repeat(F.lit(0.0), len(genes))
+    vectors = cells.join(reduce.cell_vectors(logs, genes), "cell", "left").select("cell", F.coalesce("v", zero).alias("v"))
+    comp, _, _ = reduce.svd(vectors, len(genes), min(ncomp, len(genes), n - 1))
+    # numbers in the order of the names, without a sort in one task
+    points = materialize(comp.orderBy("cell").select("cell", F.monotonically_increasing_id().alias("id"), F.col("comp").alias("v")), "points")
+    found = graph.generate(points.select("id", "v"), min(k, n), "leiden", prune, resolution=resolution)
+    return points.join(found, "id").select("cell", "cluster")
+
+
 def dropout_rates(logs: DataFrame, clusters: DataFrame) -> DataFrame:
     """``(gene, cluster, cell, value, drop)``: the chance of each cell's value being a dropout, zeros included.
 
-    A group is one gene in one cluster; its zeros are filled in inside the group from the cluster's cells.
+    A group is one gene in one cluster: its found values and the number of its zeros, which all have one chance.
     """
-    members = clusters.groupBy("cluster").agg(F.array_sort(F.collect_list("cell")).alias("members"))
-    rows = logs.join(clusters, "cell").join(F.broadcast(members), "cluster")
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    rows = logs.join(clusters, "cell").join(sizes, "cluster")
     base = math.log10(OFFSET)
     gene, cell, cluster = (df.schema[c].dataType.simpleString() for df, c in ((logs, "gene"), (logs, "cell"), (clusters, "cluster")))
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        cells = frame["members"].iloc[0]
-        value = pd.Series(frame["value"].to_numpy(), index=frame["cell"]).reindex(cells).fillna(base).to_numpy()
-        mix = fit_mixture(value)
+        found = frame["value"].to_numpy(dtype=float)
+        mix = fit_mixture(np.concatenate([found, np.full(int(frame["n"].iloc[0]) - len(found), base)]))
+        value = np.append(found, base)
         if mix is None:
             drop = np.zeros(len(value))
         else:
@@ -87,20 +110,26 @@ def dropout_rates(logs: DataFrame, clusters: DataFrame) -> DataFrame:
             low, high = share * gamma_pdf(value, shape, scale), (1 - share) * norm_pdf(value, mean, sd)
             drop = low / np.maximum(low + high, 1e-300)
             drop = np.where(value > mean, 0.0, drop)
-        return pd.DataFrame({"gene": [frame["gene"].iloc[0]] * len(cells), "cluster": [frame["cluster"].iloc[0]] * len(cells), "cell": cells, "value": value, "drop": drop})
+        names = pd.concat([frame["cell"].astype(object), pd.Series([None], dtype=object)], ignore_index=True)
+        return pd.DataFrame({"gene": [frame["gene"].iloc[0]] * len(value), "cluster": [frame["cluster"].iloc[0]] * len(value), "cell": names, "value": value, "drop": drop})
 
-    return rows.select("gene", "cell", "value", "cluster", "members").groupBy("gene", "cluster").applyInPandas(
+    fitted = rows.select("gene", "cell", "value", "cluster", "n").groupBy("gene", "cluster").applyInPandas(
         fit, f"gene {gene}, cluster {cluster}, cell {cell}, value double, drop double"
     )
+    fitted = materialize(fitted, "rates")
+    found = fitted.where("cell IS NOT NULL")
+    zeros = fitted.where("cell IS NULL").drop("cell").join(clusters, "cluster").join(found.select("gene", "cell"), ["gene", "cell"], "left_anti")
+    return found.unionByName(zeros.select("gene", "cluster", "cell", "value", "drop"))
 
 
-def impute(counts: DataFrame, clusters: DataFrame, drop_thres: float = 0.5, ridge: float = 1.0) -> DataFrame:
+def impute(counts: DataFrame, clusters: DataFrame | None = None, drop_thres: float = 0.5, ridge: float = 1.0) -> DataFrame:
     """``(gene, cell, value)``: counts with likely dropouts predicted from other cells of the cluster, rounded to 2 places.
 
     A cell's sure genes are fitted on the same genes of all other cells of its cluster by a positive ridge regression,
     which predicts its unsure ones, at most up to the gene's largest value. Entries of 0 are not returned.
-    A task holds a cluster's matrix and fits ``FITS`` of its cells.
+    Without ``clusters`` they are the :func:`subpopulations`. A task holds a cluster's matrix and fits ``FITS`` of its cells.
     """
+    clusters = materialize(subpopulations(counts), "clusters") if clusters is None else clusters
     parts = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / FITS).cast("int").alias("parts"))
     rates = dropout_rates(log_cpm(counts), clusters).join(F.broadcast(parts), "cluster")
     rates = rates.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

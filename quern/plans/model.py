@@ -82,6 +82,28 @@ class Dataset:
     def low_quality_cells(self) -> DataFrame:
         return self.cells.where("status <> 'OK'").select("cell")
 
+    @property
+    def norm_data(self) -> dict[str, dict]:
+        """The normalised matrices by name, each with the results made of it (``kind/name`` of that name)."""
+        names = [k.partition("/")[2] or "norm" for k in self.results if k.split("/")[0] == "norm"]
+        made = lambda n: {k.split("/")[0]: df for k, df in self.results.items() if (k.partition("/")[2] or "norm") == n}
+        return {n: made(n) for n in names}
+
+    def is_normalized(self) -> bool:
+        return bool(self.norm_data)
+
+    def print_dict(self) -> str:
+        """The structure of :attr:`norm_data`, a name a line, results one tab further in."""
+        return "\n".join(line for name, made in self.norm_data.items() for line in [name, *(f"\t{k}" for k in made)])
+
+    def has_assay(self, key: str) -> bool:
+        return key in self.assays
+
+    def mem_usage(self, df: DataFrame | None = None) -> float:
+        """Megabytes, by the optimizer's estimate of the plan's size; nothing is read."""
+        plan = (self.counts if df is None else df)._jdf.queryExecution().optimizedPlan()
+        return round(int(str(plan.stats().sizeInBytes())) / 1024 / 1024, 2)
+
     def save(self, path: str) -> None:
         """Parquet for each table, and a manifest; any path that Spark can write."""
         for name, df in {"counts": self.counts, "cells": self.cells, "genes": self.genes, **{f"results/{k}": v for k, v in self.results.items()}}.items():

@@ -109,6 +109,8 @@ def test_dataset(spark, tmp_path):
         data.add_metadata("cells", "status", data.cells)
     data.put("norm/standard", counts)
     data.put("hvg", counts.select("gene"))
+    assert data.is_normalized() and list(data.norm_data) == ["standard"] and data.print_dict() == "standard\n\tnorm"
+    assert data.has_assay("hvg") and not data.has_assay("de") and data.mem_usage() >= 0
     data.put("pca", counts)
     data.put("hvg", counts.select("gene"))
     assert "pca" not in data.results

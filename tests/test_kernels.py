@@ -326,6 +326,27 @@ def test_imputation_fits_on_all_other_cells(spark, monkeypatch):
         assert all(abs(got.get(k, 0.0) - max(0.0, v)) < 0.011 for k, v in want.items())
 
 
+def test_subpopulations_part_two_kinds_of_cells(spark):
+    rnd = np.random.default_rng(12)
+    mean = np.where(np.arange(40)[:, None] // 20 == np.arange(60)[None] // 30, 60, 4)
+    rows = [(f"g{g:02d}", f"c{c:02d}", int(v)) for g in range(40) for c in range(60) if (v := rnd.poisson(mean[g, c]))]
+    counts = spark.createDataFrame(rows, "gene string, cell string, count long")
+    found = {r.cell: r.cluster for r in impute.subpopulations(counts, ngenes=40, ncomp=5).collect()}
+    kinds = [{found[f"c{c:02d}"] for c in range(lo, lo + 30)} for lo in (0, 30)]
+    assert len(found) == 60 and not kinds[0] & kinds[1]
+    assert impute.impute(counts).where("value > 0").count() >= len(rows) * 0.9
+
+
+def test_checks_and_weighted_dots(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0), (2.0, 5.0, 0.5)], "x double, y double, w double")
+    assert df.agg(glm.weighted_dot("x", "y", "w")).first()[0] == 11.0
+    glm.check_intercept(np.ones((2, 2)))
+    glm.check_lengths([1, 2], offset=[0, 0], weights=None)
+    for wrong in (lambda: glm.check_intercept(np.zeros((2, 2))), lambda: glm.check_lengths([1], offset=[0, 0])):
+        with pytest.raises(ValueError):
+            wrong()
+
+
 def test_vsn_removes_depth(spark):
     rnd = np.random.default_rng(9)
     depth = rnd.uniform(0.5, 4, 150)
