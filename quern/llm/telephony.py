@@ -188,11 +188,11 @@ class _Stats:
         return f"{self.n},{self.peak},{self.power // max(1, self.n)},{self.turns}"
 
 
-def features(datas: list[bytes], to: int = 16000, step: int = 1024 * UNIT) -> list[tuple[str, bytes]]:
-    """For each payload: its feature string and its sound as resampled 16-bit PCM.
+def features(datas: list[bytes], to: int = 16000, step: int = 1024 * UNIT, also: tuple[int, ...] = ()) -> list[tuple]:
+    """For each payload: its feature string, its sound as 16-bit PCM resampled to ``to`` Hz, and to each rate of ``also``.
 
     mu=, a= and ima= give samples, peak, mean square and sign changes under that reading; pcm= is a
-    CRC of the resampled mu-law sound. ADPCM blocks of all payloads are decoded together, and payloads above
+    CRC of the resampled mu-law sound, ``to``'s the last. ADPCM blocks of all payloads are decoded together, and payloads above
     ``step`` bytes in slices, so besides the payload and its PCM only a slice is held.
     """
     small = [d for d in datas if len(d) <= step]
@@ -210,8 +210,11 @@ def features(datas: list[bytes], to: int = 16000, step: int = 1024 * UNIT) -> li
             else:
                 ima.add(decoded[at : at + len(raw) // UNIT].ravel())
                 at += len(raw) // UNIT
-        pcm = b"".join(x.astype("<i2").tobytes() for x in resampled(lambda lo, hi: law[raw[lo:hi]], len(raw), RATE, to))  # noqa: B023
-        out.append((f"mu={mu};a={a};ima={ima};pcm{to}={zlib.crc32(pcm):08x}", pcm))
+        sounds = {}
+        for rate in (*also, to):
+            sounds[rate] = b"".join(x.astype("<i2").tobytes() for x in resampled(lambda lo, hi: law[raw[lo:hi]], len(raw), RATE, rate))  # noqa: B023
+        crcs = "".join(f";pcm{rate}={zlib.crc32(pcm):08x}" for rate, pcm in sounds.items())
+        out.append((f"mu={mu};a={a};ima={ima}{crcs}", sounds[to], *(sounds[rate] for rate in also)))
     return out
 
 
@@ -221,19 +224,19 @@ SCHEMA = (
 )
 
 
-def store_texts(docs: DataFrame, keep_media: bool = False, budget: int = 4 << 20, to: int = 16000) -> DataFrame:
+def store_texts(docs: DataFrame, keep_media: bool = False, budget: int = 4 << 20, to: int = 16000, also: tuple[int, ...] = ()) -> DataFrame:
     """A row of digests, features and ``pcm``, the sound resampled to ``to`` Hz, for each row of ``docs(doc_id, text)``.
 
-    ``keep_media`` adds ``media`` (the WAV file). ``budget`` is the payload held at once, in bytes (a longer text is held alone).
+    Each rate of ``also`` (others than ``to``) adds a column ``pcm<rate>``. ``keep_media`` adds ``media`` (the WAV file). ``budget`` is the payload held at once, in bytes (a longer text is held alone).
     """
-    schema = SCHEMA + ", pcm binary" + (", media binary" if keep_media else "")
+    schema = SCHEMA + ", pcm binary" + "".join(f", pcm{rate} binary" for rate in also) + (", media binary" if keep_media else "")
 
     def rows(ids, files):
         read = [read_wav(media)[3] for _, media in files]
-        for doc, (n, media), data, (feature, pcm) in zip(ids, files, read, features(read, to)):
+        for doc, (n, media), data, (feature, *sounds) in zip(ids, files, read, features(read, to, also=also)):
             row = (
                 doc, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]),
-                len(media), hashlib.sha256(media).hexdigest(), feature, pcm,
+                len(media), hashlib.sha256(media).hexdigest(), feature, *sounds,
             )
             yield (*row, media) if keep_media else row
 
@@ -261,5 +264,5 @@ def store_texts(docs: DataFrame, keep_media: bool = False, budget: int = 4 << 20
 
 
 def op1_telephony(spark, sf_dir):
-    """Half the telephone rate, as 16-bit PCM: a byte of sound for a byte of text."""
-    return store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), to=RATE // 2)
+    """Twice the telephone rate with every sample interpolated (``pcm16000``), and half of it (``pcm``: every other sample, a byte of sound for a byte of text)."""
+    return store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), to=RATE // 2, also=(2 * RATE,))

@@ -99,3 +99,19 @@ def test_memory_of_a_long_text():
 def test_query_stores_the_sound(spark, sf_dir):
     for r in t.op1_telephony(spark, sf_dir).limit(20).collect():
         assert len(r.pcm) == r.payload_bytes and r.feature.endswith(f"pcm4000={zlib.crc32(bytes(r.pcm)):08x}")
+
+
+def plain_double(data):
+    """Payload bytes -> 16 kHz samples: each mu-law sample, then the middle of it and the next one (at the end itself)."""
+    law = t.expansion("mulaw").tolist()
+    wave = [law[b] for b in data]
+    return [x for i, at in enumerate(wave) for x in (at, (at + wave[min(i + 1, len(wave) - 1)]) * 4000 // 8000)]
+
+
+def test_query_resamples_upwards_too(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in t.op1_telephony(spark, sf_dir).limit(20).collect():
+        data = t.payload(texts[r.doc_id])[1]
+        up = np.frombuffer(bytes(r.pcm16000), dtype="<i2")
+        assert up.tolist() == plain_double(data) and (up[::4] == np.frombuffer(bytes(r.pcm), dtype="<i2")).all()
+        assert f";pcm16000={zlib.crc32(bytes(r.pcm16000)):08x};" in r.feature
