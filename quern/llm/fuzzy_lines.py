@@ -119,16 +119,56 @@ def distinct(hashes: np.ndarray) -> np.ndarray:
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
-def similar(x: np.ndarray, y: np.ndarray, a: str, b: str, width: int, threshold: float) -> bool:
-    """Whether two lines reach ``threshold``: by their distinct window hashes, and by the shingles themselves where a few decide."""
-    n = len(x) + len(y)
-    if min(len(x), len(y)) + 2 < threshold * max(len(x), len(y)):
-        return False
-    merged = np.sort(np.concatenate([x, y]))
-    both = int(np.count_nonzero(merged[1:] == merged[:-1]))
-    if abs(both - threshold * (n - both)) > 4:  # hashes that fall together move the counts by one each
-        return both >= threshold * (n - both)
-    return jaccard(shingle_set(a, width), shingle_set(b, width)) >= threshold
+#: Pairs and characters compared at once; twice the pairs are numbers of ``64 - LOW`` bits.
+CHUNK, CHUNK_CHARS, LOW = 128, 1_000_000, 54
+
+
+def reach(texts: list[str], left: np.ndarray, right: np.ndarray, width: int, threshold: float) -> np.ndarray:
+    """Which pairs of ``texts`` (``CHUNK`` at most) reach ``threshold``: by their distinct window hashes, and by the shingles themselves where a few decide."""
+    low, numbers = np.uint64(LOW), np.arange(len(texts), dtype=np.uint64)
+    hashes, starts = windows(texts, width)
+    # numbers of lines, then of pairs, stand above the hashes, so one sort serves all
+    code = distinct(np.repeat(numbers, np.diff(starts, append=len(hashes))) << low | hashes >> np.uint64(64 - LOW))
+    size = np.bincount((code >> low).astype(np.int64), minlength=len(texts))
+    first = np.cumsum(size) - size
+    code &= np.uint64((1 << LOW) - 1)
+
+    def sets(which):
+        n = size[which]
+        at = np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(which), dtype=np.uint64), n) << low | code[at]
+
+    merged = np.sort(np.concatenate([sets(left), sets(right)]), kind="stable")  # two sorted runs to merge
+    both = np.bincount((merged[1:][merged[1:] == merged[:-1]] >> low).astype(np.int64), minlength=len(left))
+    x, y = size[left], size[right]
+    gap = both - threshold * (x + y - both)
+    out = gap > 4
+    held: dict[int, frozenset[str]] = {}
+    # hashes that fall together move the counts by one each
+    for at in np.nonzero((np.abs(gap) <= 4) & (np.minimum(x, y) + 2 >= threshold * np.maximum(x, y)))[0].tolist():
+        for line in (left[at], right[at]):
+            if line not in held:
+                held[line] = shingle_set(texts[line], width)
+        out[at] = jaccard(held[left[at]], held[right[at]]) >= threshold
+    return out
+
+
+def forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The links that join what those before them leave apart."""
+    up: dict[int, int] = {}
+    out = []
+
+    def find(i):
+        while up.setdefault(i, i) != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for u, v in links:
+        i, j = find(u), find(v)
+        if i != j:
+            up[max(i, j)] = min(i, j)
+            out.append((u, v))
+    return out
 
 
 def line_key(line: str) -> bytes:
@@ -173,22 +213,21 @@ def _occurrences(docs: DataFrame, hasher: MinHasher) -> DataFrame:
 
 
 def _buckets(rows: DataFrame, limit: int):
-    """``(band, key)`` rows that share their band: small ones, and large ones with the bucket's smallest key."""
-    # two numbers a band: a hash aggregate and a hashed build side, so the many bands of one line are never sorted
-    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """``(band, id)`` rows that share their band: small ones, and large ones with the bucket's smallest id."""
+    # dealt once, for the sizes and for the rows; a hashed build side, so the many bands of one line are never sorted
+    rows = rows.repartition("band")
+    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).where("n > 1")
     shared = materialize(rows.join(sizes.hint("shuffle_hash"), "band"), "line-buckets")
-    large = shared.where(F.col("n") > limit)
-    heads = large.groupBy("band").agg(F.min("key").alias("head"))
-    return shared.where(F.col("n") <= limit), large.join(heads, "band")
+    return shared.where(F.col("n") <= limit), shared.where(F.col("n") > limit)
 
 
 def _pairs(small: DataFrame) -> DataFrame:
-    left, right = small.select("band", F.col("key").alias("u")), small.select("band", F.col("key").alias("v"))
+    left, right = small.select("band", F.col("id").alias("u")), small.select("band", F.col("id").alias("v"))
     return left.join(right, "band").where("u < v").select("u", "v")
 
 
 def _stars(large: DataFrame) -> DataFrame:
-    return large.where("key <> head").select(F.col("head").alias("u"), F.col("key").alias("v"))
+    return large.where("id <> head").select(F.col("head").alias("u"), F.col("id").alias("v"))
 
 
 def _band(i: int):
@@ -196,11 +235,19 @@ def _band(i: int):
     return F.xxhash64(F.lit(i), F.expr(f"substring(sig, {8 * i + 1}, 8)"))
 
 
+def band_index(band: int, sig: np.ndarray) -> int:
+    """Which band of a line's signature has this number, as :func:`_band` computes it."""
+    for i, value in enumerate(sig):
+        if _signed(xxhash.xxh64_intdigest(value.tobytes(), xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 42))) == band:
+            return i
+    raise ValueError("a line in a bucket that isn't its own")
+
+
 def _candidates(lines: DataFrame, bands: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct candidate pairs ``(u, v)`` of line keys, from ``lines(key, sig)``; and ``(band, key)`` of the large buckets."""
-    every = lines.select("key", F.explode(F.array(*[_band(i) for i in range(bands)])).alias("band"))
+    """Distinct candidate pairs ``(u, v)`` of line ids, from ``lines(id, sig)``; and ``(band, id)`` of the large buckets."""
+    every = lines.select("id", F.explode(F.array(*[_band(i) for i in range(bands)])).alias("band"))
     small, large = _buckets(every, limit)
-    return _pairs(small).unionAll(_stars(large)).distinct(), large.select("band", "key")
+    return _pairs(small).unionAll(_stars(large)).distinct(), large.select("band", "id")
 
 
 BLOCK, BLOCK_CHARS = 512, 2_000_000
@@ -236,7 +283,7 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None = None, step: int =
     return out
 
 
-def block_links(one: pd.DataFrame, two: pd.DataFrame | None, index: int, width: int, threshold: float) -> list[tuple[bytes, bytes]]:
+def block_links(one: pd.DataFrame, two: pd.DataFrame | None, index: int, width: int, threshold: float) -> list[tuple[int, int]]:
     """Links between the roots of two blocks (of one without ``two``) that join all their similar lines.
 
     A pair that agrees on a band before ``index`` meets in that band's bucket.
@@ -245,7 +292,7 @@ def block_links(one: pd.DataFrame, two: pd.DataFrame | None, index: int, width:
     def sets(frame):
         hashes, starts = windows(list(frame["text"]), width)
         ends = [*starts[1:].tolist(), len(hashes)]
-        return [distinct(hashes[i:j]) for i, j in zip(starts.tolist(), ends)], np.stack([np.frombuffer(s, dtype=np.uint64) for s in frame["sig"]])
+        return [distinct(hashes[i:j]) for i, j in zip(starts.tolist(), ends)], np.stack(list(frame["sig"]))
 
     (x, sig_x), (y, sig_y) = (first := sets(one)), first if two is None else sets(two)
     other = one if two is None else two
@@ -285,15 +332,13 @@ def block_links(one: pd.DataFrame, two: pd.DataFrame | None, index: int, width:
     return out
 
 
-def _large_links(large: DataFrame, lines: DataFrame, texts: DataFrame, roots: DataFrame, bands: int, width: int, threshold: float) -> DataFrame | None:
+def _large_links(large: DataFrame, texts: DataFrame, roots: DataFrame, hasher: MinHasher, threshold: float) -> DataFrame | None:
     """Links ``(u, v)`` between roots (a line without one is its own) that pairs of large buckets still add; None if none can."""
-    named = large.join(roots.select(F.col("id").alias("key"), "root"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-    named = materialize(named, "line-large")
+    named = materialize(large.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root")), "line-large")
     parts = named.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    found = named.join(main, "band").join(lines.select("key", "sig"), "key").join(texts, "key")
-    index = F.array_position(F.array(*[_band(i) for i in range(bands)]), F.col("band")).cast("int") - 1
-    rows = materialize(found.select("band", "key", "root", "sig", "text", index.alias("index"), (F.col("root") != F.col("main")).alias("rest")), "line-apart")
+    found = named.join(main, "band").join(texts, "id")
+    rows = materialize(found.select("band", "id", "root", "text", (F.col("root") != F.col("main")).alias("rest")), "line-apart")
     if not rows.limit(1).count():
         return None
 
@@ -303,24 +348,26 @@ def _large_links(large: DataFrame, lines: DataFrame, texts: DataFrame, roots: Da
 
     sizes = rows.groupBy("band").agg(blocks(F.col("rest")).alias("nr"), blocks(~F.col("rest")).alias("nm"))
     # blocks of the rest are numbered first; a block of the largest component meets only those
-    block = F.when(F.col("rest"), F.pmod(F.xxhash64("key"), F.col("nr"))).otherwise(F.col("nr") + F.pmod(F.xxhash64("key"), F.col("nm"))).cast("int")
+    block = F.when(F.col("rest"), F.pmod(F.xxhash64("id"), F.col("nr"))).otherwise(F.col("nr") + F.pmod(F.xxhash64("id"), F.col("nm"))).cast("int")
     last = F.when(F.col("rest"), F.col("nr") + F.col("nm")).otherwise(F.col("nr")) - 1
     dealt = rows.join(sizes, "band").withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), last)))
-    dealt = dealt.select("band", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "index", "root", "sig", "text")
+    dealt = dealt.select("band", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "root", "text")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         lo, hi = frame["lo"].iloc[0], frame["hi"].iloc[0]
+        frame = frame.assign(sig=list(hasher.signatures(list(frame["text"]))))
         one, two = frame[frame["block"] == lo], None if lo == hi else frame[frame["block"] == hi]
-        links = [] if not len(one) or two is not None and not len(two) else block_links(one, two, int(frame["index"].iloc[0]), width, threshold)
+        index = band_index(int(frame["band"].iloc[0]), frame["sig"].iloc[0])
+        links = [] if not len(one) or two is not None and not len(two) else block_links(one, two, index, hasher.width, threshold)
         return pd.DataFrame(links, columns=["u", "v"])
 
-    return dealt.groupBy("band", "lo", "hi").applyInPandas(run, "u binary, v binary")
+    return dealt.groupBy("band", "lo", "hi").applyInPandas(run, "u long, v long")
 
 
-def _components(pairs: DataFrame, large: DataFrame, lines: DataFrame, texts: DataFrame, bands: int, width: int, threshold: float) -> DataFrame:
+def _components(pairs: DataFrame, large: DataFrame, texts: DataFrame, hasher: MinHasher, threshold: float) -> DataFrame:
     """``(id, root)`` of the lines with a similar one."""
-    roots = components(_verified(pairs, texts, width, threshold))
-    more = _large_links(large, lines, texts, roots, bands, width, threshold)
+    roots = components(_verified(pairs, texts, hasher.width, threshold))
+    more = _large_links(large, texts, roots, hasher, threshold)
     if more is None:
         return roots
     joined = components(more)
@@ -337,7 +384,7 @@ def _bit(key):
 
 
 def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``(key, text)`` of the lines with these keys, read from the documents again."""
+    """``(id, text)`` of the lines in ``keys(id, key)``, read from the documents again."""
     place = _bit("key") + 1  # the bitmap functions count from 1
     maps = (
         keys.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit"))
@@ -371,7 +418,7 @@ def _texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"key": keys, "text": texts})
 
     found = docs.select("text").mapInPandas(run, "key binary, text string")
-    return found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    return found.join(keys, "key").groupBy("id").agg(F.first("text").alias("text"))
 
 
 def _signed(x: int) -> int:
@@ -379,20 +426,27 @@ def _signed(x: int) -> int:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    a = texts.select(F.col("key").alias("u"), F.col("text").alias("a"))
-    b = texts.select(F.col("key").alias("v"), F.col("text").alias("b"))
+    """Links ``(u, v)`` that join whatever the pairs of ``threshold`` or more join; a batch gives a spanning forest of its own."""
+    a = texts.select(F.col("id").alias("u"), F.col("text").alias("a"))
+    b = texts.select(F.col("id").alias("v"), F.col("text").alias("b"))
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.iloc[lo : lo + 512]
-                texts = dict(zip(part["u"], part["a"])) | dict(zip(part["v"], part["b"]))
-                hashes, starts = windows(list(texts.values()), width)
-                ends = [*starts[1:].tolist(), len(hashes)]
-                sets = {key: distinct(hashes[i:j]) for key, i, j in zip(texts, starts.tolist(), ends)}
-                yield part.loc[[similar(sets[u], sets[v], texts[u], texts[v], width, threshold) for u, v in zip(part["u"], part["v"])], ["u", "v"]]
-
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInPandas(run, "u binary, v binary")
+            ends = np.cumsum(batch["a"].str.len().to_numpy() + batch["b"].str.len().to_numpy())
+            lo, links = 0, []
+            while lo < len(batch):
+                most = (ends[lo - 1] if lo else 0) + CHUNK_CHARS
+                hi = max(lo + 1, min(lo + CHUNK, int(np.searchsorted(ends, most, "right"))))
+                part = batch.iloc[lo:hi]
+                held = dict(zip(part["u"], part["a"])) | dict(zip(part["v"], part["b"]))
+                at = {line: i for i, line in enumerate(held)}
+                left, right = (np.array([at[line] for line in part[c]], dtype=np.int64) for c in ("u", "v"))
+                near = part[reach(list(held.values()), left, right, width, threshold)]
+                links.extend(zip(near["u"].tolist(), near["v"].tolist()))
+                lo = hi
+            yield pd.DataFrame(forest(links), columns=["u", "v"])
+
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
 
 
 def removals(
@@ -401,20 +455,23 @@ def removals(
     """``(doc_id, tie, gone array<int>)``: the places (from 0) of the lines to remove; ``tie`` is xxhash64(text)."""
     named = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), F.col("text").cast("string"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "line").alias("place")
-    every = materialize(_occurrences(named, MinHasher(width, bands, rows, seed)), "lines")
-    lines = materialize(every.groupBy("key").agg(F.min(place).alias("place"), F.max("sig").alias("sig"), F.count(F.lit(1)).alias("n")), "line-classes")
+    hasher = MinHasher(width, bands, rows, seed)
+    every = materialize(_occurrences(named, hasher), "lines")
+    classes = every.groupBy("key").agg(F.min(place).alias("place"), F.max("sig").alias("sig"), F.count(F.lit(1)).alias("n"))
+    # numbers stand for the keys from here on: they sort, hash and aggregate faster
+    lines = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "line-classes")
     candidates, large = _candidates(lines, bands, bucket_limit)
     pairs = materialize(candidates, "line-pairs")
-    wanted = pairs.select(F.col("u").alias("key")).unionAll(pairs.select("v")).distinct()
+    ids = pairs.select(F.col("u").alias("id")).unionAll(pairs.select("v")).distinct()
+    wanted = materialize(lines.select("id", "key").join(ids.hint("shuffle_hash"), "id", "left_semi"), "line-wanted")
     texts = materialize(_texts_of(named, wanted), "line-texts")
-    roots = _components(pairs, large, lines, texts, bands, width, threshold)
-    member = lines.join(roots.withColumnRenamed("id", "key"), "key").select("key", "root", "place")
+    roots = _components(pairs, large, texts, hasher, threshold)
+    # equal lines without a similar one are a component of their own
+    found = lines.select("id", "key", "n", "place").join(roots.hint("shuffle_hash"), "id", "left").where("root IS NOT NULL OR n > 1")
+    member = materialize(found.select("key", "place", F.coalesce("root", "id").alias("root")), "line-members")
     first = member.groupBy("root").agg(F.min("place").alias("keep"))
-    alone = lines.where("n > 1").join(roots.select(F.col("id").alias("key")), "key", "left_anti")
-    keep = materialize(
-        member.join(first, "root").select("key", "keep").unionAll(alone.select("key", F.col("place").alias("keep"))), "line-keep"
-    )
-    gone = every.select("key", "doc_id", "tie", "line", place).join(keep, "key").where(~F.col("place").eqNullSafe(F.col("keep")))
+    keep = materialize(member.join(first, "root").select("key", "keep"), "line-keep")
+    gone = every.select("key", "doc_id", "tie", "line", place).join(keep.hint("shuffle_hash"), "key").where(~F.col("place").eqNullSafe(F.col("keep")))
     return gone.groupBy("doc_id", "tie").agg(F.collect_set("line").alias("gone"))
 
 
@@ -440,7 +497,7 @@ def _applied(docs: DataFrame, **options) -> tuple[DataFrame, str]:
 
         return pd.Series([cut(t, g) for t, g in zip(texts, gone)], dtype=object)
 
-    return docs.join(out, same, "left").withColumn("text", without(F.col("text").cast("string"), F.col(gone))), gone
+    return docs.join(out.hint("shuffle_hash"), same, "left").withColumn("text", without(F.col("text").cast("string"), F.col(gone))), gone
 
 
 def op4_fuzzy_lines(spark, sf_dir):

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from docs import ROWS, empty, frame
 from pyspark.sql import functions as F
 
@@ -129,3 +130,35 @@ def test_columns_with_the_names_inside(spark):
     out = f.dedupe_lines(docs)
     assert out.columns == docs.columns and sorted(map(str, out.select("doc_id", "text").collect())) == sorted(map(str, f.dedupe_lines(frame(spark)).select("doc_id", "text").collect()))
     assert out.select("_gone", "gone", "tie").distinct().collect() == [("_gone", "gone", "tie")]
+
+
+def test_reach_against_exact_similarity(spark):
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(40)]
+    lines = [variant(rnd, words, n) for n in (0, 1, 2, 3) for _ in range(8)] + ["abc", "abcdefgh", "abcdefghi", "ab" * 40, "ab" * 60, "ä漢🙂" * 9]
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i)]
+    seen = set()
+    for lo in range(0, len(pairs), f.CHUNK):
+        left, right = np.array(pairs[lo : lo + f.CHUNK]).T
+        want = [f.jaccard(shingles(lines[i]), shingles(lines[j])) >= 0.8 for i, j in zip(left, right)]
+        assert f.reach(lines, left, right, 9, 0.8).tolist() == want
+        seen |= set(want)
+    assert seen == {True, False} and f.forest([(3, 1), (1, 2), (2, 3), (5, 4), (2, 1)]) == [(3, 1), (1, 2), (5, 4)]
+    sigs = f.MinHasher().signatures(lines)
+    df = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sigs)], "at int, sig binary")
+    for r in df.select("at", F.array(*[f._band(i) for i in range(8)]).alias("bands")).collect():
+        assert [f.band_index(band, sigs[r.at]) for band in r.bands] == list(range(8))
+
+
+def test_stages_pass_numbers_not_keys(spark, monkeypatch):
+    from quern.plans import components
+
+    kinds = {}
+    for module in (f, components):
+        write = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, name, write=write: kinds.setdefault(name, dict(df.dtypes)) and write(df, name))
+    words = [f"word{i}" for i in range(30)]
+    df = spark.createDataFrame([(i, " ".join([*words, f"tail{i}"])) for i in range(40)], "doc_id long, text string")
+    assert f.removals(df, bucket_limit=8).count() == 39
+    for name, columns in (("line-buckets", ("band", "id")), ("line-pairs", ("u", "v")), ("edges", ("u", "v"))):
+        assert all(kinds[name][c] == "bigint" for c in columns), name
