@@ -15,48 +15,120 @@ from quern.functions.linalg import linkage
 from quern.plans.scratch import materialize, release
 
 
+#: a side of the grid of tasks of exact neighbours has at most so many blocks, unless they would pass so many rows
+MOST_BLOCKS, MOST_ROWS = 12, 65_536
+PACK = 2048
+
+
+def _first_copies(x: np.ndarray, k: int) -> np.ndarray:
+    """Which rows are among the first ``k`` of their equals."""
+    _, group = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
+    place = np.empty(len(x), dtype=np.int64)
+    place[order] = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
+    return place < k
+
+
+def nearest(a: np.ndarray, ids: np.ndarray, b: np.ndarray, names: np.ndarray, k: int, distance: str = "euclidean"):
+    """``(row of a, name, distance)`` of the ``k`` nearest of ``b`` to each row of ``a``, ties by name; a name of its own counts first.
+
+    Tiles of rough distances only choose candidates: all that may be among the ``k`` nearest within the error of single
+    precision. Those are measured exactly and merged with the best so far.
+    """
+    if distance == "cosine":
+        a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
+    order = np.argsort(names, kind="stable")
+    b, names = b[order], names[order]
+    fresh = _first_copies(b, k + 1)  # of equal points the smallest names come first; a point's own is added below
+    own = np.flatnonzero(np.isin(names, ids) & ~fresh)
+    keep = np.sort(np.concatenate([np.flatnonzero(fresh), own]))
+    rest = ~fresh[keep]
+    b, names = b[keep], names[keep]
+    whole = np.isfinite(b).all(axis=1)
+    centre = b[whole].mean(axis=0) if whole.any() else np.zeros(b.shape[1])
+    a0, b0 = a - centre, b - centre
+    aa, bb = (a0**2).sum(axis=1), (b0**2).sum(axis=1)
+    plain = distance != "manhattan"
+    wide = 4096 if plain else max(1, 2_000_000 // (64 * max(1, a.shape[1])))
+    step = 512 if plain else 64
+    right = np.column_stack([-2 * b0, bb]).astype(np.float32)
+    slack = 2.4e-7 * (a.shape[1] + 8) * (aa + bb[whole].max(initial=0.0)) + 1e-30
+    out = []
+    for lo in range(0, len(a), step):
+        q, mine = a[lo : lo + step], ids[lo : lo + step]
+        n = len(q)
+        left = np.column_stack([a0[lo : lo + step], np.ones(n)]).astype(np.float32)
+        best = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)]  # row, place in b, distance
+        limit = np.full(n, np.inf)
+        for to in range(0, len(b), wide):
+            if plain:
+                rough = left @ right[to : to + wide].T
+                bound = (limit - aa[lo : lo + n] + slack[lo : lo + n]).astype(np.float32)
+                if not to and rough.shape[1] > k:  # a first bound, from the kth of this tile
+                    first = np.partition(rough, k, axis=1)[:, k]
+                    bound = first + 2 * slack[lo : lo + n].astype(np.float32)
+            else:
+                rough = np.abs(q[:, None] - b[None, to : to + wide]).sum(axis=2)
+                bound = limit + 1e-9 * (1 + np.where(np.isinf(limit), 0.0, limit))
+            row, at = np.divmod(np.flatnonzero(~(rough > bound[:, None])), rough.shape[1])
+            at += to
+            usable = ~rest[at] | (names[at] == mine[row])
+            row, at = row[usable], at[usable]
+            if not len(row):
+                continue
+            far = np.empty(len(row))
+            for i in range(0, len(row), 100_000):
+                gap = q[row[i : i + 100_000]] - b[at[i : i + 100_000]]
+                far[i : i + 100_000] = np.abs(gap).sum(axis=1) if not plain else (gap**2).sum(axis=1)
+            d = far if not plain else far / 2 if distance == "cosine" else np.sqrt(far)
+            row, at, d = (np.concatenate(x) for x in zip(best, (row, at, d)))
+            sort = np.lexsort((at, np.round(d, 12), names[at] != mine[row], row))  # places are in the order of names
+            row, at, d = row[sort], at[sort], d[sort]
+            starts = np.searchsorted(row, np.arange(n))
+            rank = np.arange(len(row)) - starts[row]
+            chosen = rank < k
+            best = [row[chosen], at[chosen], d[chosen]]
+            last = np.flatnonzero(rank == k - 1)
+            edge = d[last] + 1e-12
+            limit[row[last]] = edge**2 if distance == "euclidean" else edge * 2 if plain else edge
+        out.append((best[0] + lo, names[best[1]], best[2]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def knn(vectors: DataFrame, k: int = 10, distance: str = "euclidean", block_rows: int = 4096) -> DataFrame:
     """Exact neighbours ``(i, rank, j, distance)`` of ``(id, v)``; a point is its own first neighbour; ties by id.
 
-    Points are dealt into blocks by a hash of their id; each block meets each other one as a pair of arrays, so a
-    task holds two blocks, and keeps the k best of each row before anything is shuffled.
+    Points are dealt into blocks by a hash of their id and packed, ``PACK`` to a row; each block meets each other one as a pair
+    of arrays, so a task holds two blocks, and keeps the k best of each row before anything is shuffled. Blocks have ``block_rows``
+    at least and grow with the input up to ``MOST_ROWS``, so that a point is sent at most 2 ``MOST_BLOCKS`` times till then.
     """
     if distance not in ("euclidean", "manhattan", "cosine"):
         raise ValueError("distance is euclidean, manhattan or cosine")
-    blocks = max(1, -(-vectors.count() // block_rows))
+    n = vectors.count()
+    blocks = max(1, min(-(-n // block_rows), max(MOST_BLOCKS, -(-n // MOST_ROWS))))
     rows = vectors.select(F.col("id").cast("long"), F.col("v").cast("array<double>"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    ask = rows.select("id", "v", F.col("b").alias("mine"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    give = rows.select(
-        F.col("id").alias("name"), F.col("v").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("mine"), F.col("b").alias("other")
-    )
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, x = frame["id"].to_numpy(dtype=np.int64), np.stack(frame["v"].to_numpy()).astype(float)
+        cuts = range(0, len(ids), PACK)
+        return pd.DataFrame({"b": frame["b"].iloc[0], "ids": [ids[c : c + PACK].tobytes() for c in cuts], "x": [x[c : c + PACK].tobytes() for c in cuts]})
+
+    packs = materialize(rows.groupBy("b").applyInPandas(pack, "b int, ids binary, x binary"), "points")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    ask = packs.select("ids", "x", F.col("b").alias("mine"), every.alias("other"))
+    give = packs.select(F.col("ids").alias("names"), F.col("x").alias("y"), every.alias("mine"), F.col("b").alias("other"))
+
+    def unpack(ids: pd.Series, x: pd.Series):
+        ids = np.concatenate([np.frombuffer(i, dtype=np.int64) for i in ids])
+        return ids, np.concatenate([np.frombuffer(v) for v in x]).reshape(len(ids), -1)
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"i": [], "j": [], "distance": []})
-        a, b = np.stack(left["v"].to_numpy()), np.stack(right["w"].to_numpy())
-        ids, names = left["id"].to_numpy(), right["name"].to_numpy()
-        if distance == "cosine":
-            a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
-        out = []
-        for lo in range(0, len(a), 256):
-            q = a[lo : lo + 256]
-            if distance == "manhattan":
-                rough = np.abs(q[:, None] - b[None]).sum(axis=2)
-            else:
-                rough = (q**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None] - 2 * q @ b.T
-            take = min(len(b), k + 8)
-            near = np.argpartition(rough, take - 1, axis=1)[:, :take]
-            gap = q[:, None] - b[near]
-            if distance == "manhattan":
-                d = np.abs(gap).sum(axis=2)
-            elif distance == "cosine":
-                d = (gap**2).sum(axis=2) / 2
-            else:
-                d = np.sqrt((gap**2).sum(axis=2))
-            order = np.lexsort((names[near], np.round(d, 12)), axis=1)[:, :k]
-            row = np.repeat(ids[lo : lo + 256], order.shape[1])
-            out.append(pd.DataFrame({"i": row, "j": np.take_along_axis(names[near], order, 1).ravel(), "distance": np.take_along_axis(d, order, 1).ravel()}))
-        return pd.concat(out)
+        (ids, a), (names, b) = unpack(left["ids"], left["x"]), unpack(right["names"], right["y"])
+        i, j, d = nearest(a, ids, b, names, k, distance)
+        return pd.DataFrame({"i": ids[i], "j": j, "distance": d})
 
     found = ask.groupBy("mine", "other").cogroup(give.groupBy("mine", "other")).applyInPandas(best, "i long, j long, distance double")
     order = Window.partitionBy("i").orderBy(F.col("i") != F.col("j"), F.round("distance", 12), "j")

@@ -97,6 +97,22 @@ def test_knn_snn(spark):
         assert graph.knn(vectors, 3, distance).where("rank = 1 AND i <> j").count() == 0
 
 
+def test_neighbours_among_many_copies_are_those_of_smallest_names(spark, monkeypatch):
+    rnd = np.random.default_rng(21)
+    a = np.concatenate([np.repeat(rnd.normal(size=(3, 4)), [60, 25, 1], axis=0), rnd.normal(size=(54, 4))]) + 100
+    names = rnd.permutation(140)
+    d = np.round(np.sqrt(((a[:, None] - a[None]) ** 2).sum(axis=2)), 12)
+    want = {int(n): names[np.lexsort((names, d[i], names != n))[:6]].tolist() for i, n in enumerate(names)}
+    vectors = spark.createDataFrame([(int(n), r.tolist()) for n, r in zip(names, a)], "id long, v array<double>")
+    for most, rows in ((12, 4096), (3, 20)):
+        monkeypatch.setattr(graph, "MOST_BLOCKS", most)
+        got = graph.knn(vectors, 6, block_rows=rows)
+        assert got.orderBy("i", "rank").toPandas().groupby("i")["j"].agg(list).to_dict() == want
+        monkeypatch.setattr(graph, "MOST_ROWS", 60)
+    asked = [r[0] for r in graph.knn(vectors, 6, block_rows=20)._jdf.queryExecution().toString().split("sequence(0, ")[1:]]
+    assert set(asked) == {"2"}  # three blocks a side at most, not one for each 20 points
+
+
 def test_layouts_keep_groups_apart(spark):
     rnd = np.random.default_rng(3)
     a = np.concatenate([rnd.normal(c * 12, 1, (30, 4)) for c in range(3)])
