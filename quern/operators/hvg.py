@@ -48,7 +48,7 @@ def technical_fit(stats: DataFrame) -> tuple[float, float]:
     if cut is None or fit.count() < 20:
         cut = rows.agg(F.expr("percentile(mean, 0.8)")).first()[0]
         fit = rows.where(F.col("mean") >= F.lit(cut))
-    design = fit.select(F.col("cv2").alias("y"), (1 / F.col("mean")).alias("x")).where("y > 0")
+    design = materialize(fit.select(F.col("cv2").alias("y"), (1 / F.col("mean")).alias("x")).where("y > 0"), "design")  # read once a step
     a0, a1 = 0.1, 1.0
     for _ in range(100):  # Fisher scoring; each step is one aggregate of five sums
         mu = F.greatest(F.lit(1e-8), F.lit(a0) + F.lit(a1) * F.col("x"))
@@ -78,11 +78,11 @@ def brennecke_stat(stats: DataFrame, m: int, a0: float, a1: float, min_disp: flo
 def brennecke(expr: DataFrame, n_cells: int, spikes: DataFrame | None = None, fdr: float = 0.1, ngenes: int | None = 1000, logged: bool = True, min_disp: float = 0.5) -> DataFrame:
     """Genes whose variation is over the technical one, fitted to ``spikes`` if given, else to all genes."""
     raw = unlog if logged else lambda e: e
-    stats = row_stats(raw(expr), "gene", n_cells)
-    a0, a1 = technical_fit(row_stats(raw(spikes), "gene", n_cells) if spikes is not None else stats)
+    stats = materialize(row_stats(raw(expr), "gene", n_cells), "stats")  # a row a gene
+    a0, a1 = technical_fit(materialize(row_stats(raw(spikes), "gene", n_cells), "stats") if spikes is not None else stats)
     udf = special.udfs()["chisq_sf"]
     tested = brennecke_stat(stats, n_cells, a0, a1, min_disp).withColumn("p_val", udf("chi2", F.lit(float(n_cells - 1))))
-    out = bh_adjust(tested).where(F.col("fdr") < fdr).orderBy("p_val", F.desc("chi2"), "gene")
+    out = bh_adjust(materialize(tested, "tested")).where(F.col("fdr") < fdr).orderBy("p_val", F.desc("chi2"), "gene")
     return out.limit(ngenes) if ngenes else out
 
 
@@ -226,10 +226,10 @@ def michaelis_constant(points: DataFrame, rounds: int = 40) -> float:
 
 def mm(expr: DataFrame, n_cells: int, ngenes: int | None = 1000, fdr: float | None = None, logged: bool = True) -> DataFrame:
     """Genes with more dropouts than a Michaelis-Menten curve of their mean; ``fdr`` None keeps the top ones only."""
-    points = dropout_points(unlog(expr) if logged else expr, n_cells)
+    points = materialize(dropout_points(unlog(expr) if logged else expr, n_cells), "points")  # a row a gene, read once a round
     rows = mm_z(points, michaelis_constant(points))
     rows = rows.withColumn("p_val", F.when(F.col("always"), 1.0).otherwise(special.udfs()["normal_sf"]("z"))).drop("always")
-    rows = bh_adjust(rows)
+    rows = bh_adjust(materialize(rows, "tested"))
     rows = rows.where(F.col("fdr") < fdr) if fdr else rows
     rows = rows.orderBy("p_val", F.desc("z"), "gene")
     return rows.limit(ngenes) if ngenes else rows

@@ -395,6 +395,23 @@ def test_variable_genes_are_found(spark):
         hvg.find_hvg(expr, 120, "other")
 
 
+@pytest.mark.parametrize("method", ["brennecke", "mm"])
+def test_selections_read_the_matrix_a_few_times_only(spark, method):
+    rnd = np.random.default_rng(22)
+    rows = [(f"g{g}", c, float(v)) for g in range(40) for c in range(30) if (v := rnd.poisson(1 + g % 9))]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    kind = "gene string, cell long, value double"
+    expr = spark.createDataFrame(rows, kind).mapInPandas(count, kind)
+    hvg.METHODS[method](expr, 30, ngenes=5, logged=False).collect()
+    assert len(rows) <= read.value <= 2 * len(rows)  # not once for each step of a fit
+
+
 def test_cell_types_cycle_and_deconvolution(spark):
     rnd = np.random.default_rng(11)
     types = {"A": range(0, 10), "B": range(10, 20), "C": range(20, 30)}
