@@ -272,6 +272,5 @@ def overall_scatter(spark, sf):
 def io_text_roundtrip(spark, sf):
     """The dense matrix exported as wide text, genes x cells, and read again."""
     path = f"{shared_dir(spark)}/quern/export-{uuid.uuid4().hex}"
-    wide = files.wide(raw_expr(spark, sf, "m2").withColumn("cell", F.col("cell").cast("string")))
-    files.export(wide.coalesce(1), path, sep=",", compression="gzip")
+    files.export_normalised(raw_expr(spark, sf, "m2").withColumn("cell", F.col("cell").cast("string")), path, sep=",", compression="gzip")
     return files.read_text(spark, path, do_round=False, sep=",")

@@ -10,6 +10,7 @@ import tarfile
 import time
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,14 @@ def test_side_files_and_exports(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "pca"), sep="\t", header=True).columns == ["cell", "comp1", "comp2"]
 
 
+def test_export_of_more_cells_than_a_pivot_takes(spark, tmp_path):
+    rows = [(g, f"c{c}", float(c + 1)) for c in range(12_000) for g in (["a", 'b"x'] if c % 2 else ["a"])]
+    expr = spark.createDataFrame(pd.DataFrame(rows, columns=["gene", "cell", "value"]))
+    files.export_normalised(expr, str(tmp_path / "wide"), sep=",", compression="gzip")
+    got = files.read_text(spark, str(tmp_path / "wide"), sep=",").toPandas()
+    assert len(got) == 18_000 and set(got["gene"]) == {"a", "b\\x"} and (got["cell"] == "c" + (got["count"] - 1).astype(str)).all()
+
+
 def test_dataset(spark, tmp_path):
     counts = spark.createDataFrame(list(WANT) + [("ERCC-1", "c1", 2), ("mt-a", "c2", 3)], "gene string, cell string, count long")
     data = Dataset(counts, "test")
