@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import linalg
-from quern.operators import bio, bulk, glm, graph, hvg, impute, norm, qc, reduce
+from quern.operators import bio, bulk, glm, graph, hvg, impute, layout, norm, qc, reduce
 
 
 def planted(groups=4, size=15, inside=0.7, outside=0.03, seed=1):
@@ -507,3 +507,33 @@ def test_jackstraw_finds_structure(spark):
     scores, comps = reduce.jackstraw(vectors, list(range(30)), 3, 60, 0.1, score_thr=0.05)
     rows = {r.pc: r for r in comps.collect()}
     assert rows[1].found >= 10 and rows[1].p_val < rows[3].p_val and scores.count() == 90
+
+
+def test_pyramid_sums_are_those_of_all_pairs():
+    rnd = np.random.default_rng(23)
+    y = np.concatenate([rnd.normal(0, 1, (700, 2)), rnd.normal(6, 0.05, (200, 2)), [[40.0, -3.0]], np.zeros((3, 2))])
+    mass = rnd.integers(1, 5, len(y)).astype(float)
+    tree = layout.Pyramid(y, mass)
+    count = np.concatenate([tree.meet(lo, min(lo + 250, len(y)), lambda m, dx, dy: (m,)) for lo in range(0, len(y), 250)])[:, 0]
+    assert np.allclose(count, mass.sum() - mass)  # each other point once
+    dx, dy = y[:, None, 0] - y[None, :, 0], y[:, None, 1] - y[None, :, 1]
+    q = 1 / (1 + dx**2 + dy**2)
+    want = np.stack([(mass * q**2 * dx).sum(axis=1), (mass * q**2 * dy).sum(axis=1)], axis=1)
+    got = tree.meet(0, len(y), lambda m, dx, dy: (m * dx / (1 + dx**2 + dy**2) ** 2, m * dy / (1 + dx**2 + dy**2) ** 2))
+    assert np.linalg.norm(got - want) < 0.03 * np.linalg.norm(want)
+
+
+def test_layouts_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(layout, "BLOCK", 200)
+    rnd = np.random.default_rng(24)
+    a = np.concatenate([rnd.normal(c * 12, 1, (100, 4)) for c in range(3)])
+    vectors = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(a)], "id long, v array<double>")
+    near = graph.knn(vectors, 10)
+    for turn in (reduce.tsne(vectors.withColumnRenamed("id", "cell"), "v", 10, 25), reduce.umap(near, 10), reduce.force_graph(graph.snn(near, 10), 10)):
+        xy = turn.orderBy("cell").toPandas()
+        assert len(xy) == 300 and np.isfinite(xy[["x", "y"]].to_numpy()).all()
+
+
+def test_points_without_links_have_a_place(spark):
+    edges = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (2, 1), (5, 5)], "src long, dst long")
+    assert [r.cell for r in reduce.force_graph(edges, 5).orderBy("cell").collect()] == [0, 1, 2, 5]
