@@ -79,14 +79,14 @@ def is_outlier(df: DataFrame, y: str, x: str, thres: float = 10.0, bins: int = 5
     return out.withColumns({"score": score, "outlier": score > thres}).drop("_b1", "_b2", "_s1", "_s2")
 
 
-def theta_ml(y: np.ndarray, mu: np.ndarray, limit: int = 10, eps: float = 1e-8) -> float:
-    """Maximum-likelihood dispersion of a negative binomial with known means, by Newton's method."""
-    n = len(y)
-    theta = n / max(float((((y / mu) - 1) ** 2).sum()), 1e-12)
+def theta_ml(y: np.ndarray, mu: np.ndarray, limit: int = 10, eps: float = 1e-8, times: np.ndarray | None = None) -> float:
+    """Maximum-likelihood dispersion of a negative binomial with known means, by Newton's method; ``times`` counts equal rows."""
+    times = np.ones(len(y)) if times is None else times
+    theta = float(times.sum()) / max(float((times * ((y / mu) - 1) ** 2).sum()), 1e-12)
     for _ in range(limit):
         theta = abs(theta)
-        slope = float((digamma(theta + y) - digamma(theta) + np.log(theta) + 1 - np.log(theta + mu) - (y + theta) / (mu + theta)).sum())
-        curve = float((-trigamma(theta + y) + trigamma(theta) - 1 / theta + 2 / (mu + theta) - (y + theta) / (mu + theta) ** 2).sum())
+        slope = float((times * (digamma(theta + y) - digamma(theta) + np.log(theta) + 1 - np.log(theta + mu) - (y + theta) / (mu + theta))).sum())
+        curve = float((times * (-trigamma(theta + y) + trigamma(theta) - 1 / theta + 2 / (mu + theta) - (y + theta) / (mu + theta) ** 2)).sum())
         if not curve:
             break
         step = slope / curve

@@ -158,15 +158,17 @@ def zscore(expr: DataFrame, by: str, n: Column | int | None = None, value: str =
 # variance stabilisation by regularised negative-binomial regression
 
 
-def _poisson_line(y: np.ndarray, x: np.ndarray, steps: int = 50) -> np.ndarray:
-    """Coefficients of a Poisson model log(mu) = a + b x, by iterated weighted least squares."""
+def _poisson_line(y: np.ndarray, x: np.ndarray, steps: int = 50, times: np.ndarray | None = None) -> np.ndarray:
+    """Coefficients of a Poisson model log(mu) = a + b x, by iterated weighted least squares; ``times`` counts equal rows."""
+    times = np.ones(len(y)) if times is None else times
     design = np.column_stack([np.ones_like(x), x])
-    beta = np.array([np.log(max(y.mean(), 1e-8)), 0.0])
+    beta = np.array([np.log(max(np.average(y, weights=times), 1e-8)), 0.0])
     for _ in range(steps):
         eta = np.clip(design @ beta, -30, 30)
         mu = np.exp(eta)
         z = eta + (y - mu) / mu
-        new = np.linalg.lstsq(design * np.sqrt(mu)[:, None], z * np.sqrt(mu), rcond=None)[0]
+        root = np.sqrt(mu * times)
+        new = np.linalg.lstsq(design * root[:, None], z * root, rcond=None)[0]
         if np.abs(new - beta).max() < 1e-8:
             return new
         beta = new
@@ -203,11 +205,12 @@ def vsn_parameters(counts: DataFrame, min_cells: int = 5, gmean_eps: float = 1.0
     At most ``ngenes`` genes are fitted (drawn against their density, by keyed hashes), each in its own group;
     the curve over their means is bounded by that number and applied to all genes.
     """
-    cells = counts.groupBy("cell").agg(F.sum("count").cast("double").alias("umi"))
+    cells = materialize(counts.groupBy("cell").agg(F.sum("count").cast("double").alias("umi")), "cells")
     n = cells.count()
     expr = counts.select("gene", "cell", F.col("count").cast("double").alias("value"))
     kept = counts.groupBy("gene").agg(F.count_if(F.col("count") > 0).alias("k")).where(F.col("k") >= min_cells)
     logs = geometric_mean(expr, "gene", n, gmean_eps).join(kept, "gene", "left_semi").select("gene", F.log10("gmean").alias("g"))
+    logs = materialize(logs, "means")  # a row a gene
     low, high = logs.agg(F.min("g"), F.max("g")).first()
     spark = counts.sparkSession
     empty = spark.createDataFrame([], "gene string, b0 double, b1 double, theta double")
@@ -222,14 +225,15 @@ def vsn_parameters(counts: DataFrame, min_cells: int = 5, gmean_eps: float = 1.0
     depth = [r for r in cells.select(F.round(F.log10("umi"), 2).alias("d")).groupBy("d").count().orderBy("d").collect()]
     levels, sizes = np.array([r["d"] for r in depth]), np.array([r["count"] for r in depth], dtype=float)
     rows = expr.join(F.broadcast(drawn), "gene").join(cells, "cell").select("gene", "g", "value", F.round(F.log10("umi"), 2).alias("d"))
+    rows = rows.groupBy("gene", "g", "value", "d").agg(F.count(F.lit(1)).alias("times"))  # a gene's task holds values by depth, not cells
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        y, x = frame["value"].to_numpy(), frame["d"].to_numpy()
-        found = pd.Series(np.ones(len(x))).groupby(x).sum().reindex(levels).fillna(0).to_numpy()
-        zeros = np.repeat(levels, np.maximum(sizes - found, 0).astype(int))
-        y, x = np.concatenate([y, np.zeros(len(zeros))]), np.concatenate([x, zeros])
-        b = _poisson_line(y, x)
-        theta = theta_ml(y, np.exp(np.clip(b[0] + b[1] * x, -30, 30)))
+        y, x, times = frame["value"].to_numpy(), frame["d"].to_numpy(), frame["times"].to_numpy(dtype=float)
+        zeros = np.maximum(sizes - pd.Series(times).groupby(x).sum().reindex(levels).fillna(0).to_numpy(), 0)
+        y, x, times = np.concatenate([y, np.zeros(len(levels))]), np.concatenate([x, levels]), np.concatenate([times, zeros])
+        y, x, times = y[times > 0], x[times > 0], times[times > 0]
+        b = _poisson_line(y, x, times=times)
+        theta = theta_ml(y, np.exp(np.clip(b[0] + b[1] * x, -30, 30)), times=times)
         return pd.DataFrame({"gene": frame["gene"].iloc[:1], "g": frame["g"].iloc[:1], "b0": b[0], "b1": b[1], "theta": max(theta, 1e-7)})
 
     kind = counts.schema["gene"].dataType.simpleString()
@@ -257,6 +261,7 @@ def vsn(counts: DataFrame, min_cells: int = 5, gmean_eps: float = 1.0, ngenes: i
     A zero in a shallow cell may stand for more at the median depth, so every kept gene meets every cell; the result
     is about that large itself.
     """
+    counts = materialize(counts, "counts")  # read for depths, means, fits and values
     pars = vsn_parameters(counts, min_cells, gmean_eps, ngenes, seed)
     cells = counts.groupBy("cell").agg(F.log10(F.sum("count").cast("double")).alias("d"))
     median = cells.agg(F.expr("percentile(d, 0.5)").alias("md"))
