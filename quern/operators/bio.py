@@ -69,14 +69,14 @@ def plain_symbol(gene):
 
 def predict_cell_types(expr: DataFrame, clusters: DataFrame, markers: DataFrame, min_size: int = 10, symbols: DataFrame | None = None, max_p: float = 0.10):
     """``(best, all)``: the best cell type of each cluster ('Unknown' over ``max_p``), and all activities with p-values."""
-    medians = median_expression(expr, clusters, min_size).withColumn("gene", plain_symbol(F.col("gene")))
-    scored = cluster_zscores(medians.groupBy("gene", "cluster").agg(F.max("median").alias("median")))
+    medians = median_expression(materialize(expr, "expr"), clusters, min_size).withColumn("gene", plain_symbol(F.col("gene")))
+    scored = cluster_zscores(materialize(medians.groupBy("gene", "cluster").agg(F.max("median").alias("median")), "medians"))
     markers = markers.withColumn("gene", F.upper("gene"))
     kept = markers.join(symbols, "gene", "left_semi") if symbols is not None else markers
     fisher = special.udfs()["fisher_greater"]
     rows = activity(scored, markers, symbols).join(contingency(scored, kept), ["cluster", "cell_type"])
     rows = rows.withColumn("p_val", fisher(*[F.col(c).cast("double") for c in "abcd"]))
-    rows = bh_adjust(rows)
+    rows = bh_adjust(materialize(rows, "tested"))
     first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("activity"), "cell_type")))
     best = first.where("rank = 1").withColumn("cell_type", F.when(F.col("fdr") > max_p, "Unknown").otherwise(F.col("cell_type"))).drop("rank")
     return best, rows

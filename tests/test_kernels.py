@@ -537,3 +537,31 @@ def test_layouts_in_several_blocks(spark, monkeypatch):
 def test_points_without_links_have_a_place(spark):
     edges = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (2, 1), (5, 5)], "src long, dst long")
     assert [r.cell for r in reduce.force_graph(edges, 5).orderBy("cell").collect()] == [0, 1, 2, 5]
+
+
+def test_depth_fits_take_equal_rows_as_counts(spark):
+    from quern.functions.stats import theta_ml
+
+    rnd = np.random.default_rng(25)
+    x = np.round(rnd.uniform(1, 2, 400), 1)
+    y = rnd.negative_binomial(3, 3 / (3 + np.exp(x))).astype(float)
+    pairs, times = np.unique(np.column_stack([y, x]), axis=0, return_counts=True)
+    beta = norm._poisson_line(y, x)
+    assert np.allclose(norm._poisson_line(pairs[:, 0], pairs[:, 1], times=times.astype(float)), beta, atol=1e-6)
+    mu = lambda at: np.exp(beta[0] + beta[1] * at)
+    assert np.isclose(theta_ml(pairs[:, 0], mu(pairs[:, 1]), times=times), theta_ml(y, mu(x)))
+
+
+def test_cell_types_read_the_matrix_once(spark):
+    rows = [(f"g{g}", c, float(1 + (g * c) % 5)) for g in range(20) for c in range(24)]
+    read, kind = spark.sparkContext.accumulator(0), "gene string, cell long, value double"
+
+    def count(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    clusters = spark.createDataFrame([(c, c % 2) for c in range(24)], "cell long, cluster int")
+    markers = spark.createDataFrame([(f"g{g}", "A" if g < 10 else "B") for g in range(20)], "gene string, cell_type string")
+    assert len(bio.predict_cell_types(spark.createDataFrame(rows, kind).mapInPandas(count, kind), clusters, markers)[0].collect()) == 2
+    assert read.value == len(rows)
